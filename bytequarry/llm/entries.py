@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import decontamination, line_dedup, quality_classifier, quality_rules, simhash
+from bytequarry.llm import decontamination, line_dedup, piece_codec, quality_classifier, quality_rules, simhash, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.count_tokens(docs, unigram.Vocabulary.load())[0].drop("text")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -50,6 +55,19 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary = unigram.Vocabulary.load()
+    encoded, ids = piece_codec.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), vocabulary)
+    decoded, text = piece_codec.decode(encoded, vocabulary, ids)
+    return decoded.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        ids,
+        (F.sha2(text, 256) == F.col("text_sha256")).alias("round_trip"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted, names = quality_rules.with_statistics(docs)
@@ -61,7 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_sentencepiece, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
