@@ -40,4 +40,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
-ORACLES = {"op5_line_dedup": OP5, "op6_benchmark_decontamination": OP6}
+
+
+def _escaped(text: str) -> str:
+    for plain, escaped in (("\\", "\\\\"), ("<|", "<\\|"), ("<s>", "<\\s>"), ("</s>", "<\\/s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]")):
+        text = f"replace({text}, '{plain}', '{escaped}')"
+    return text
+
+
+OP8 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role AS lead FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_escaped("text")})
+    + CASE WHEN lead THEN 24 + length(replace({_escaped("role")}, chr(10), '\\' || chr(10))) ELSE 10 END) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+ORACLES = {"op8_chat_format": OP8, "op5_line_dedup": OP5, "op6_benchmark_decontamination": OP6}
