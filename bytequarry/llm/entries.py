@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import chat_format, decontamination, line_dedup, piece_codec, quality_classifier, quality_rules, simhash, unigram
+from bytequarry.llm import chat_format, decontamination, line_dedup, piece_codec, quality_classifier, quality_rules, simhash, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+    return records.withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted, names = quality_rules.with_statistics(docs)
@@ -101,7 +106,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_sentencepiece, op8_chat_format, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_sentencepiece, op8_chat_format, op9_warc_derivatives, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
