@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import chat_format, decontamination, line_dedup, piece_codec, quality_classifier, quality_rules, simhash, unigram, warc
+from bytequarry.llm import chat_format, decontamination, line_dedup, piece_codec, quality_classifier, quality_rules, secret_scan, simhash, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.example_findings(spark))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), forest, "text", "source", ["doc_id"])
+    return found.select("doc_id", "start", "length", "candidate", "score", "is_secret")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.count_tokens(docs, unigram.Vocabulary.load())[0].drop("text")
@@ -106,7 +112,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_sentencepiece, op8_chat_format, op9_warc_derivatives, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_benchmark_decontamination, op7_sentencepiece, op8_chat_format, op9_warc_derivatives, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
