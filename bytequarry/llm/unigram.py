@@ -28,7 +28,7 @@ from bytequarry.llm.common import append_columns, fresh_name
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_NODES = 400_000
+MAX_NODES = 800_000
 _NO_SCORE = float("-inf")
 
 
@@ -65,6 +65,20 @@ class Vocabulary:
             key=path,
         )
 
+    @cached_property
+    def suffixes(self) -> dict[str, float | None]:
+        """Every suffix of a piece, with its score if it is a piece: a search backwards ends where none is left."""
+        out: dict[str, float | None] = {p[i:]: None for p in self.scores for i in range(1, len(p))}
+        out.update((p, s) for p, (s, _) in self.scores.items())
+        return out
+
+    @cached_property
+    def prefixes(self) -> dict[str, tuple[float, int] | None]:
+        """Every prefix of a piece, with its score and id if it is a piece."""
+        out: dict[str, tuple[float, int] | None] = {p[:i]: None for p in self.scores for i in range(1, len(p))}
+        out.update(self.scores)
+        return out
+
     @cached_property
     def pre_tokens(self) -> re.Pattern:
         """Matches the stretches between forced cuts: places that no piece crosses."""
@@ -97,18 +111,20 @@ class TokenTrie:
 
     def insert(self, token: str) -> int:
         child, best, count = self.child, self.best, self.count
-        scores, longest = self.vocabulary.scores, self.vocabulary.longest
+        scores, suffixes = self.vocabulary.scores, self.vocabulary.suffixes
         path = [0]
         for at, char in enumerate(token, 1):
             node = child.get((path[-1], char))
             if node is None:
                 top, tokens = _NO_SCORE, 0
-                for start in range(max(0, at - longest), at):  # of equal scores the first start stays
-                    found = scores.get(token[start:at])
-                    if found is not None:
-                        before = path[start]
-                        if (total := best[before] + found[0]) > top:
-                            top, tokens = total, count[before] + 1
+                start = at - 1
+                while start >= 0:
+                    score = suffixes.get(token[start:at], _NO_SCORE)
+                    if score == _NO_SCORE:  # no piece ends like this
+                        break
+                    if score is not None and (total := best[path[start]] + score) >= top:  # the first start wins
+                        top, tokens = total, count[path[start]] + 1
+                    start -= 1
                 if char not in scores:
                     before = path[-1]
                     if (total := best[before] + self.vocabulary.unknown_score) > top:
