@@ -1,2 +1,48 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries that pack, restore and report."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bytequarry.functions import scalar
+from bytequarry.operators import analytics
+from bytequarry.plans import analytics_queries
+from bytequarry.plans.chunk_queries import CHUNK, chunks
+from bytequarry.sources import archive, reports
+
+
+def sha256_roundtrip(spark, sf_dir):
+    """Documents packed in chunks, restored, joined again and compared by digest."""
+    cut = chunks(spark, sf_dir, CHUNK)
+    back = archive.joined(archive.restore(archive.pack(cut, ["BASE", "D4T4", "T4"])))
+    return back.select(F.col("key").cast("long").alias("doc_id"), "n_chunks", "raw_len", F.sha2("content", 256).alias("sha256"))
+
+
+def archive_roundtrip(spark, sf_dir):
+    cut = chunks(spark, sf_dir, CHUNK)
+    back = archive.restore(archive.pack(cut, ["BASE", "BIT", "NIB", "X4BIT"]))
+    checked = analytics.digest_check(cut.withColumn("key", F.col("key").cast("string")), back, ["key", "chunk"])
+    return checked.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+
+
+def markdown_report(spark, sf_dir):
+    made = analytics.summary(analytics_queries.runs(spark, sf_dir), "profile")
+    columns = {"profile": F.col("profile"), "size": scalar.grouped(F.col("size")), "ratio": F.concat(scalar.fixed(F.round("ratio_pct", 2), 2), F.lit("%"))}
+    return reports.markdown_lines(made, columns, ["profile"])
+
+
+def text_report(spark, sf_dir):
+    return reports.text_lines(analytics_queries.per_file(spark, sf_dir).where("profile = 'A'"))
+
+
+QUERIES = {f.__name__: f for f in (sha256_roundtrip, archive_roundtrip, markdown_report, text_report)}
+ORACLES = {
+    "sha256_roundtrip": f"""SELECT doc_id, CAST((octet_length(encode(text)) - 1) // {CHUNK} + 1 AS INTEGER) AS n_chunks, CAST(octet_length(encode(text)) AS BIGINT) AS raw_len, sha256(text) AS sha256
+  FROM documents WHERE text <> ''""",
+    "archive_roundtrip": f"SELECT true AS same, CAST(sum((octet_length(encode(text)) - 1) // {CHUNK} + 1) AS BIGINT) AS n FROM documents WHERE text <> ''",
+    "markdown_report": f"""WITH {analytics_queries.RUNS}, s AS (SELECT profile, sum(size) AS size, sum(raw) AS raw FROM runs GROUP BY profile)
+  SELECT 0 AS line_no, '| profile | size | ratio |' AS line UNION ALL SELECT 1, '|---|---|---|'
+  UNION ALL SELECT CAST(row_number() OVER (ORDER BY profile) + 1 AS INTEGER), '| ' || profile || ' | ' || format('{{:,}}', CAST(size AS BIGINT)) || ' | ' || printf('%.2f', round(100.0 * size / raw, 2)) || '% |' FROM s""",
+    "text_report": f"""WITH {analytics_queries.RUNS}, f AS (SELECT profile, file, sum(raw) AS raw, sum(size) AS size FROM runs WHERE profile = 'A' GROUP BY profile, file)
+  SELECT unnest(['profile=' || profile, 'file=' || file, 'raw=' || raw, 'size=' || size]) AS line FROM f""",
+}

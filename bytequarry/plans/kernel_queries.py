@@ -1,2 +1,100 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over parsed and packed chunks. The kernel is plain Python, so they read the benchmark's short texts or pages
+of documents, whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bytequarry.functions import lz
+from bytequarry.operators import matching, profiles
+from bytequarry.plans.chunk_queries import CHUNK, _chunk_cte
+from bytequarry.sources import chunks as source
+
+
+def items(spark, sf_dir):
+    return source.from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", CHUNK)
+
+
+def _ids(df, *more):
+    return df.select(F.col("key").alias("item_id"), "chunk", *more)
+
+
+def lz_tokens(spark, sf_dir):
+    return _ids(matching.tokens(items(spark, sf_dir)), "tok_no", "at", "len", "dist")
+
+
+def token_totals(spark, sf_dir):
+    """Tokens must cover each chunk exactly."""
+    found = matching.tokens(items(spark, sf_dir)).groupBy(F.col("key").alias("item_id"), "chunk")
+    return found.agg(F.sum("len").alias("covered"), F.max(F.col("dist") - F.col("at")).alias("reach")).select("item_id", "chunk", "covered", (F.col("reach") <= 0).alias("in_chunk"))
+
+
+def literal_count(spark, sf_dir):
+    return _ids(matching.literal_counts(items(spark, sf_dir)), "raw_len", "tokens", "literals")
+
+
+def kernel_round_trip(spark, sf_dir):
+    chunks = items(spark, sf_dir)
+    back = matching.unpacked(matching.packed(chunks, verify=False))
+    return _ids(back, "raw_len", F.sha2("raw", 256).alias("raw_sha256"))
+
+
+def kernel_sizes(spark, sf_dir):
+    return _ids(matching.packed(items(spark, sf_dir)), "raw_len", "mode", F.octet_length("payload").alias("size"))
+
+
+def adaptive_kernel_sizes(spark, sf_dir):
+    """Packed with the distance penalty that each chunk's text share asks for."""
+    chunks = items(spark, sf_dir)
+    shares = profiles.profile(chunks, "printable").select("key", "chunk", "printable")
+    given = chunks.join(shares, ["key", "chunk"])
+    return _ids(matching.packed_with_penalty(given, profiles.distance_penalty(9)), "raw_len", "mode", F.octet_length("payload").alias("size"))
+
+
+def match_candidates_4gram(spark, sf_dir):
+    return _ids(matching.match_candidates(items(spark, sf_dir), depth=4), "pos", "dist", "rank")
+
+
+def longest_match(spark, sf_dir):
+    return _ids(matching.longest_matches(items(spark, sf_dir)), "pos", "len", "dist")
+
+
+def prefix_cost(spark, sf_dir):
+    return _ids(matching.prefix_costs(items(spark, sf_dir), 6.5, 0.0), "pos", F.round("cost", 4).alias("cost"))
+
+
+def predicted_prefix_cost(spark, sf_dir):
+    costs = matching.prefix_costs(items(spark, sf_dir), 6.5, 0.5)
+    return costs.groupBy(F.col("key").alias("item_id"), "chunk").agg(F.max("cost").alias("cost"))
+
+
+def parse_variants(spark, sf_dir):
+    """Total size by match search: depths and hash sizes of the fast variants."""
+    variants = {"deep": lz.ParseOptions(), "fast": lz.ParseOptions(depth=8, lazy_depth=4), "single": lz.ParseOptions(depth=1, lazy_depth=1), "wide": lz.ParseOptions(hash_bits=22)}
+    chunks = items(spark, sf_dir)
+    out = None
+    for name, options in variants.items():
+        one = matching.packed(chunks, options, verify=False).agg(F.sum("raw_len").alias("raw"), F.sum(F.octet_length("payload")).alias("size")).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        lz_tokens, token_totals, literal_count, kernel_round_trip, kernel_sizes, adaptive_kernel_sizes, match_candidates_4gram, longest_match,
+        prefix_cost, predicted_prefix_cost, parse_variants,
+    )
+}
+_CTE = _chunk_cte(CHUNK, "benchmark", "item_id")
+_BY = "PARTITION BY item_id, chunk ORDER BY pos"
+_GRAMS = f"""WITH {_CTE}, g4 AS (SELECT item_id, chunk, n, pos, v + 256 * lead(v, 1) OVER ({_BY}) + 65536 * lead(v, 2) OVER ({_BY}) + CAST(16777216 AS BIGINT) * lead(v, 3) OVER ({_BY}) AS gram FROM b),
+g AS (SELECT item_id, chunk, pos, gram, (CAST(gram AS HUGEINT) * 2654435761) % 1048576 AS slot FROM g4 WHERE pos + 4 <= n),
+s AS (SELECT *, row_number() OVER (PARTITION BY item_id, chunk, slot ORDER BY pos) AS nth FROM g)"""
+ORACLES = {
+    "token_totals": f"WITH {_CTE} SELECT item_id, chunk, CAST(n AS BIGINT) AS covered, true AS in_chunk FROM chunks",
+    "kernel_round_trip": f"WITH {_CTE} SELECT item_id, chunk, CAST(n AS BIGINT) AS raw_len, sha256(unhex(h)) AS raw_sha256 FROM chunks",
+    "match_candidates_4gram": f"""{_GRAMS} SELECT a.item_id, a.chunk, CAST(a.pos AS INTEGER) AS pos, CAST(a.pos - p.pos AS INTEGER) AS dist, CAST(a.nth - p.nth AS INTEGER) AS rank
+  FROM s a JOIN s p ON a.item_id = p.item_id AND a.chunk = p.chunk AND a.gram = p.gram AND a.nth - p.nth BETWEEN 1 AND 4""",
+    "prefix_cost": f"WITH {_CTE} SELECT item_id, chunk, CAST(pos AS INTEGER) AS pos, round(6.5 * CAST(row_number() OVER ({_BY}) AS DOUBLE), 4) AS cost FROM b",
+}
