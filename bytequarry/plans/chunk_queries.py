@@ -25,6 +25,11 @@ def _r6(c: str):
     return F.round(c, 6).alias(c)
 
 
+def _r12(c: str):
+    """For shares of up to 2**12 or so: with fewer digits some lie halfway, and engines round those differently."""
+    return F.round(c, 12).alias(c)
+
+
 def chunk_scan(spark, sf_dir):
     return _ids(chunks(spark, sf_dir), "raw_len", F.sha2("raw", 256).alias("raw_sha256"))
 
@@ -39,19 +44,19 @@ def byte_entropy(spark, sf_dir):
 
 
 def printable_share(spark, sf_dir):
-    return _ids(profiles.profile(chunks(spark, sf_dir), "printable"), _r6("printable"))
+    return _ids(profiles.profile(chunks(spark, sf_dir), "printable"), _r12("printable"))
 
 
 def eq_rate(spark, sf_dir):
-    return _ids(profiles.profile(chunks(spark, sf_dir), "eq1", "eq16", "eq256"), _r6("eq1"), _r6("eq16"), _r6("eq256"))
+    return _ids(profiles.profile(chunks(spark, sf_dir), "eq1", "eq16", "eq256"), _r12("eq1"), _r12("eq16"), _r12("eq256"))
 
 
 def sampled_lag_score(spark, sf_dir):
-    return _ids(profiles.match_rates(chunks(spark, sf_dir, 16384), [1, 4, 64], sampled=True), "lag", _r6("rate"))
+    return _ids(profiles.match_rates(chunks(spark, sf_dir, 16384), [1, 4, 64], sampled=True), "lag", _r12("rate"))
 
 
 def top3_lags(spark, sf_dir):
-    return _ids(profiles.top_lags(chunks(spark, sf_dir)), "rank", "lag", _r6("rate"))
+    return _ids(profiles.top_lags(chunks(spark, sf_dir)), "rank", "lag", _r12("rate"))
 
 
 def neighbour_residual_entropy(spark, sf_dir):
@@ -335,10 +340,10 @@ ORACLES = {
     "chunk_scan": f"""WITH {_chunk_cte()} SELECT doc_id, chunk, CAST(n AS BIGINT) AS raw_len, sha256(unhex(h)) AS raw_sha256 FROM chunks""",
     "chunk_counts": f"WITH {_chunk_cte()} SELECT doc_id, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_bytes, min(n) AS least FROM chunks GROUP BY doc_id",
     "byte_entropy": f"WITH {_chunk_cte()}, {_entropy('b', 'e')} SELECT doc_id, chunk, CAST(n AS BIGINT) AS raw_len, bits AS entropy FROM chunks JOIN e USING (doc_id, chunk)",
-    "printable_share": f"WITH {_chunk_cte()} SELECT doc_id, chunk, round(avg(CAST({_PRINTABLE} AS INTEGER)), 6) AS printable FROM b GROUP BY doc_id, chunk",
-    "eq_rate": f"WITH {_chunk_cte()}, {_LAGGED} SELECT doc_id, chunk, " + ", ".join(f"round({_equal(k)}, 6) AS eq{k}" for k in (1, 16, 256)) + " FROM l GROUP BY doc_id, chunk",
-    "sampled_lag_score": f"{_sampled([1, 4, 64], 16384)} SELECT doc_id, chunk, lag, round(rate, 6) AS rate FROM s",
-    "top3_lags": f"""{_sampled(_LAG_LIST)} SELECT doc_id, chunk, CAST(rank AS INTEGER) AS rank, lag, round(rate, 6) AS rate FROM (
+    "printable_share": f"WITH {_chunk_cte()} SELECT doc_id, chunk, round(avg(CAST({_PRINTABLE} AS INTEGER)), 12) AS printable FROM b GROUP BY doc_id, chunk",
+    "eq_rate": f"WITH {_chunk_cte()}, {_LAGGED} SELECT doc_id, chunk, " + ", ".join(f"round({_equal(k)}, 12) AS eq{k}" for k in (1, 16, 256)) + " FROM l GROUP BY doc_id, chunk",
+    "sampled_lag_score": f"{_sampled([1, 4, 64], 16384)} SELECT doc_id, chunk, lag, round(rate, 12) AS rate FROM s",
+    "top3_lags": f"""{_sampled(_LAG_LIST)} SELECT doc_id, chunk, CAST(rank AS INTEGER) AS rank, lag, round(rate, 12) AS rate FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY rate DESC, lag DESC) AS rank FROM s) WHERE rank <= 3""",
     "neighbour_residual_entropy": f"WITH {_chunk_cte()}, {_LAGGED}, {_RES}, {_entropy('r', 're')} SELECT doc_id, chunk, bits AS res_entropy FROM re",
     "repeat_rate_4gram": f"{_grams('64')} SELECT doc_id, chunk, repeats, samples FROM a",
