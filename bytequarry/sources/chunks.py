@@ -6,6 +6,9 @@ with a binary substring, so it streams and needs no shuffle. An empty or null in
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +36,34 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(path)
-    root = F.lit(path.split("://")[-1].rstrip("/").lstrip("/"))
+    found = _with_empty_files(spark, reader.load(path))
+    root = path.split("://")[-1].strip("/") + "/"
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "")
-    inside = F.when(plain.startswith(F.concat(root, F.lit("/"))), F.expr(f"substring({_quoted_plain()}, {len(path.split('://')[-1].strip('/')) + 2})"))
+    # below a directory the name is what follows it; a single file goes by its own name
+    below = F.when(F.startswith(plain, F.lit(root)), F.substring(plain, F.lit(len(root) + 1), F.length(plain)))
     name = F.element_at(F.split("path", "/"), -1)
-    return found.select(F.coalesce(inside, name).alias("rel"), F.col("length").alias("raw"), "content", "path")
-
-
-def _quoted_plain() -> str:
-    return "regexp_replace(path, '^[a-z0-9]+:/*', '')"
-
-
-def from_files(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, glob: str | None = None) -> DataFrame:
-    """Chunks of files, keyed by the name relative to `path`."""
-    return cut(files(spark, path, glob), "rel", F.col("content"), chunk_bytes)
+    return found.select(F.coalesce(below, name).alias("rel"), F.col("length").alias("raw"), "content", "path")
+
+
+def _with_empty_files(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Spark's scans leave empty files out; the listing that Spark made for the scan has them."""
+    names = [(re.sub("^file:/+", "file:/", unquote(n)),) for n in found.inputFiles()]
+    listed = spark.createDataFrame(names, "path string").join(found.select("path"), "path", "left_anti")
+    return found.select("path", "length", "content").unionByName(
+        listed.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    )
+
+
+def from_files(
+    spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, glob: str | None = None, keep_empty: bool = False
+) -> DataFrame:
+    """Chunks of files, keyed by the name relative to `path`; with keep_empty an empty file is one empty chunk."""
+    found = files(spark, path, glob)
+    made = cut(found, "rel", F.col("content"), chunk_bytes)
+    if keep_empty:
+        empty = found.where("raw = 0").select(F.col("rel").alias("key"), F.lit(0).alias("chunk"), "raw", "content")
+        made = made.unionByName(empty.toDF(*made.columns))
+    return made
 
 
 def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
