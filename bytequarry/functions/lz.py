@@ -12,7 +12,7 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-from bytequarry.functions.scalar import FACTOR
+from bytequarry.functions.scalar import FACTOR, LATTICE
 from bytequarry.functions.transforms import NEIGHBOURS
 
 
@@ -37,6 +37,10 @@ class ParseOptions:
     window: int = 1 << 22
     #: (candidates looked at, length): long enough to stop there.
     enough: tuple[tuple[int, int], ...] = ((7, 128), (15, 64), (31, 32))
+    #: What distances save: a mode of scalar.lattice_bonus; 0 for nothing.
+    lattice: int = 0
+    #: Share of a literal's cost that an adaptive model of residuals predicts, see prefix_costs().
+    predicted: float = 0.0
 
 
 SHORTEST, LONGEST, EXTENDED = 4, 255, 65535
@@ -92,22 +96,50 @@ class MatchFinder:
         return best, far
 
 
-def match_bits(length: int, distance: int, options: ParseOptions) -> float:
-    return options.match + (1.0 if length <= 7 else math.log2(length + 1)) + options.distance * math.log2(distance + 1)
+def saved_bits(mode: int, distance: int, last: int = 0, older: int = 0) -> float:
+    """scalar.lattice_bonus of plain numbers."""
+    line, plane, planes, lines = LATTICE.get(mode, (0.0, 0.0, 0.0, 0.0))
+    saved = line if distance in (15, 16, 17) else 0.0
+    saved += plane if distance in (255, 256, 257) else planes if distance % 256 == 0 else lines if distance % 16 == 0 else 0.0
+    apart = abs(distance - last)
+    if mode == 1 and last:
+        slack = max(2, last >> 5)
+        harmonic = min(abs(distance - 2 * last), abs(2 * distance - last)) <= 2 * slack
+        saved += 0.0 if apart else 1.05
+        saved += (0.38 * (apart <= slack) + 0.20 * harmonic) if apart else 0.0
+    if mode == 3:
+        saved += 0.0 if not last else 0.70 if not apart else 0.24 if apart <= max(2, last >> 6) else 0.0
+        saved += 0.18 if older and distance == older else 0.0
+    return saved
+
+
+def match_bits(length: int, distance: int, options: ParseOptions, last: int = 0, older: int = 0) -> float:
+    plain = options.match + (1.0 if length <= 7 else math.log2(length + 1)) + options.distance * math.log2(distance + 1)
+    return plain - saved_bits(options.lattice, distance, last, older) if options.lattice else plain
 
 
 def parse(data: bytes, options: ParseOptions = ParseOptions()) -> list[tuple[int, int]]:
     """Tokens that cover data from left to right."""
-    finder, tokens, at = MatchFinder(data, options), [], 0
+    finder, tokens, at, last, older = MatchFinder(data, options), [], 0, 0, 0
+    costs = prefix_costs(data, options.literal, options.predicted) if options.predicted else None
+
+    def gain_of(start: int, length: int, distance: int) -> float:
+        if length < SHORTEST:
+            return 0.0
+        literals = costs[start + length] - costs[start] if costs else options.literal * length
+        return literals - match_bits(length, distance, options, last, older)
+
     while at < len(data):
         length, distance = finder.longest(at, options.depth)
-        gain = options.literal * length - match_bits(length, distance, options) if length >= SHORTEST else 0.0
+        gain = gain_of(at, length, distance)
         if gain > 0 and length < options.lazy_below and at + 1 < len(data):
             later, later_distance = finder.longest(at + 1, options.lazy_depth)
-            if later >= length + 2:  # worth a literal first if it saves clearly more
-                better = options.literal * later - match_bits(later, later_distance, options) - 0.20
-                gain = 0.0 if better > gain + 0.75 else gain
+            # worth a literal first if it saves clearly more
+            if later >= length + 2 and gain_of(at + 1, later, later_distance) - 0.20 > gain + 0.75:
+                gain = 0.0
         token = (length, distance) if gain > 0 else (1, 0)
+        if token[1]:
+            last, older = distance, last
         finder.add(at, at + token[0])
         tokens.append(token)
         at += token[0]
@@ -473,12 +505,20 @@ def copy_match(out: bytearray, distance: int, length: int) -> None:
 RAW, PACKED = 0, 1
 
 
-def pack(data: bytes, options: ParseOptions = ParseOptions(), verify: bool = True) -> tuple[int, bytes]:
-    """(mode, payload): packed, or as it is if hardly anything matches or packing does not pay."""
+def pack(data: bytes, options: ParseOptions = ParseOptions(), verify: bool = True, compete_from: float | None = None) -> tuple[int, bytes]:
+    """(mode, payload): packed, or as it is if hardly anything matches or packing does not pay.
+
+    With compete_from, chunks of which at least that share are literals are also coded as literals alone, and the
+    smaller result is kept; such chunks are not given up beforehand.
+    """
     tokens = parse(data, options)
-    if sum(1 for _, d in tokens if not d) > len(data) * 9 // 10:
+    literals = sum(1 for _, d in tokens if not d)
+    competes = compete_from is not None and literals >= compete_from * len(data)
+    if literals > len(data) * 9 // 10 and not competes:
         return RAW, data
     payload = encode(data, tokens)
+    if competes:
+        payload = min(payload, encode(data, [(1, 0)] * len(data)), key=len)
     if verify and decode(payload, len(data)) != data:
         raise CorruptChunk("a packed chunk does not decode to its bytes")
     return (PACKED, payload) if len(payload) < len(data) else (RAW, data)

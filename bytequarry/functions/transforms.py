@@ -180,6 +180,15 @@ CATALOGUES: dict[str, list[str]] = {
 LAGS = [1, 2, 3, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]
 
 
+def register(name: str, apply_whole: Callable[[bytes], bytes], undo_whole: Callable[[bytes, int], bytes]) -> None:
+    """Adds a transform of whole buffers under a name of capital letters; undo_whole also gets the raw length."""
+    global _STEP
+    if not re.fullmatch("[A-Z]{3,}", name) or name in ("BASE", "BIT", "NIB", "RES"):
+        raise ValueError("a new name has three or more capital letters and is not one of the engine's own")
+    _WHOLE[name] = (apply_whole, undo_whole)
+    _STEP = re.compile(rf"({'|'.join(sorted(_WHOLE, key=len, reverse=True))})|(DD|WD|WX|D|X|T)(\d+)")
+
+
 def steps(name: str) -> list[tuple[str, int]]:
     if name in ("BASE", ""):
         return []

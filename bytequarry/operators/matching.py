@@ -102,6 +102,12 @@ def longest_matches(chunks: DataFrame, options: lz.ParseOptions = lz.ParseOption
     return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk"])
 
 
+def top_candidates(candidates: DataFrame, score: Column, k: int = 2) -> DataFrame:
+    """The k candidates of the highest score at every place; of equal scores the nearer."""
+    order = Window.partitionBy("key", "chunk", "pos").orderBy(score.desc(), "dist")
+    return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 def prefix_costs(chunks: DataFrame, literal: float, weight: float) -> DataFrame:
     """(key, chunk, pos, cost): bits of the first pos + 1 bytes as literals; a range costs the difference of two."""
     fields = T._parse_datatype_string("pos int, cost double")

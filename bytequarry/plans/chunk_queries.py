@@ -14,7 +14,7 @@ TAGS3, TAGS6 = ["BASE", "D4T4", "D1024T1024"], ["BASE", "D4T4", "D1024T1024", "W
 
 def chunks(spark: SparkSession, sf_dir: str, chunk_bytes: int = CHUNK) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return source.from_text(docs, "doc_id", "text", chunk_bytes)
+    return source.from_text(source.balance(docs), "doc_id", "text", chunk_bytes)
 
 
 def _ids(df: DataFrame, *more) -> DataFrame:

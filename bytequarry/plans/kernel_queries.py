@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytequarry.functions import lz
+from bytequarry.functions import lz, scalar
 from bytequarry.operators import matching, profiles
 from bytequarry.plans.chunk_queries import CHUNK, _chunk_cte
 from bytequarry.sources import chunks as source
@@ -55,6 +55,14 @@ def match_candidates_4gram(spark, sf_dir):
     return _ids(matching.match_candidates(items(spark, sf_dir), depth=4), "pos", "dist", "rank")
 
 
+def top2_candidates(spark, sf_dir):
+    """The two candidates whose distance saves most: lattice bonus less the cost of the distance."""
+    found = matching.match_candidates(items(spark, sf_dir), depth=8)
+    score = F.round(scalar.lattice_bonus(8, F.col("dist")) - 1.2 * F.log2(F.col("dist") + 1.0), 6)
+    top = matching.top_candidates(found.withColumn("score", score), F.col("score"), 2)
+    return _ids(top, "pos", "dist", "score", "place")
+
+
 def longest_match(spark, sf_dir):
     return _ids(matching.longest_matches(items(spark, sf_dir)), "pos", "len", "dist")
 
@@ -70,7 +78,7 @@ def predicted_prefix_cost(spark, sf_dir):
 
 def parse_variants(spark, sf_dir):
     """Total size by match search: depths and hash sizes of the fast variants."""
-    variants = {"deep": lz.ParseOptions(), "fast": lz.ParseOptions(depth=8, lazy_depth=4), "single": lz.ParseOptions(depth=1, lazy_depth=1), "wide": lz.ParseOptions(hash_bits=22)}
+    variants = {"deep": lz.ParseOptions(), "fast": lz.ParseOptions(depth=8, lazy_depth=4), "single": lz.ParseOptions(depth=1, lazy_depth=1), "wide": lz.ParseOptions(hash_bits=22), "lattice": lz.ParseOptions(lattice=8), "recent": lz.ParseOptions(lattice=3), "predicted": lz.ParseOptions(predicted=0.5)}
     chunks = items(spark, sf_dir)
     out = None
     for name, options in variants.items():
@@ -82,7 +90,7 @@ def parse_variants(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        lz_tokens, token_totals, literal_count, kernel_round_trip, kernel_sizes, adaptive_kernel_sizes, match_candidates_4gram, longest_match,
+        lz_tokens, token_totals, literal_count, kernel_round_trip, kernel_sizes, adaptive_kernel_sizes, match_candidates_4gram, top2_candidates, longest_match,
         prefix_cost, predicted_prefix_cost, parse_variants,
     )
 }
@@ -96,5 +104,11 @@ ORACLES = {
     "kernel_round_trip": f"WITH {_CTE} SELECT item_id, chunk, CAST(n AS BIGINT) AS raw_len, sha256(unhex(h)) AS raw_sha256 FROM chunks",
     "match_candidates_4gram": f"""{_GRAMS} SELECT a.item_id, a.chunk, CAST(a.pos AS INTEGER) AS pos, CAST(a.pos - p.pos AS INTEGER) AS dist, CAST(a.nth - p.nth AS INTEGER) AS rank
   FROM s a JOIN s p ON a.item_id = p.item_id AND a.chunk = p.chunk AND a.gram = p.gram AND a.nth - p.nth BETWEEN 1 AND 4""",
+    "top2_candidates": f"""{_GRAMS}, c AS (SELECT a.item_id, a.chunk, CAST(a.pos AS INTEGER) AS pos, CAST(a.pos - p.pos AS INTEGER) AS dist
+    FROM s a JOIN s p ON a.item_id = p.item_id AND a.chunk = p.chunk AND a.gram = p.gram AND a.nth - p.nth BETWEEN 1 AND 8),
+  q AS (SELECT *, round(CASE WHEN dist IN (15, 16, 17) THEN CAST(0.80 AS DOUBLE) ELSE 0 END + CASE WHEN dist IN (255, 256, 257) THEN CAST(1.30 AS DOUBLE) WHEN dist % 256 = 0 THEN 0.90
+    WHEN dist % 16 = 0 THEN 0.45 ELSE 0 END - CAST(1.2 AS DOUBLE) * log2(dist + 1.0), 6) AS score FROM c)
+  SELECT item_id, chunk, pos, dist, score, CAST(place AS INTEGER) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id, chunk, pos ORDER BY score DESC, dist) AS place FROM q) WHERE place <= 2""",
     "prefix_cost": f"WITH {_CTE} SELECT item_id, chunk, CAST(pos AS INTEGER) AS pos, round(6.5 * CAST(row_number() OVER ({_BY}) AS DOUBLE), 4) AS cost FROM b",
 }

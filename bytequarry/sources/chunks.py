@@ -71,6 +71,17 @@ def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
     return files(spark, path, glob).select("rel", "raw").orderBy("rel")
 
 
+SMALL_BYTES = 256 << 20
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Deal a small input that came in fewer partitions than there are cores out over all of them, so that a kernel does
+    not run in one task. Larger inputs stay where they are: a shuffle would cost more than idle cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
 def spread(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
     """Deal chunks out evenly before an expensive kernel, so that one large file does not sit in one task."""
     n = partitions or chunks.sparkSession.sparkContext.defaultParallelism * 3

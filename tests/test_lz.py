@@ -74,3 +74,27 @@ def test_prefix_costs():
     assert lz.prefix_costs(b"abcd", 6.5, 0.0) == [0.0, 6.5, 13.0, 19.5, 26.0]
     steps = lz.prefix_costs(b"abcd" * 100, 6.5, 1.0)
     assert all(1.5 <= b - a + 1e-9 and b - a <= 10 + 1e-9 for a, b in zip(steps, steps[1:]))
+
+
+@pytest.mark.parametrize("options", [lz.ParseOptions(lattice=m) for m in (1, 3, 8)] + [lz.ParseOptions(predicted=0.5), lz.ParseOptions(depth=1, lazy_depth=1)], ids=str)
+def test_options_change_the_parse_only(options):
+    data = EDGES[-1][:1500]
+    assert lz.decode(lz.encode(data, lz.parse(data, options)), len(data)) == data
+
+
+def test_competing_codings():
+    data = bytes(i * i // 40 % 256 for i in range(1200))
+    plain, both = lz.pack(data), lz.pack(data, compete_from=0.35)
+    assert len(both[1]) <= len(plain[1]) and lz.unpack(*both, len(data)) == data
+
+
+def test_saved_bits_follow_the_column_form(spark):
+    from pyspark.sql import functions as F
+
+    from bytequarry.functions import scalar
+
+    rows = [(d, a, b) for d in (1, 15, 16, 30, 32, 33, 64, 100, 255, 256, 512, 600) for a in (0, 16, 33, 300, 512) for b in (0, 64, 512)]
+    frame = spark.createDataFrame(rows, "d int, a int, b int")
+    for mode in range(1, 10):
+        for r in frame.withColumn("s", scalar.lattice_bonus(mode, F.col("d"), F.col("a"), F.col("b"))).collect():
+            assert r.s == pytest.approx(lz.saved_bits(mode, r.d, r.a, r.b)), (mode, r)

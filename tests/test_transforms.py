@@ -61,3 +61,12 @@ def test_slot_remembers_only_its_last_gram():
         keys[h] = v
         samples += 1
     assert profile.repeat_rate(data) == (repeats, samples)
+
+
+def test_registered_transforms():
+    t.register("FLIP", lambda d: d[::-1], lambda d, n: d[::-1])
+    assert t.apply(b"abcd", "D1FLIP") == t.delta(b"abcd", 1)[::-1]
+    assert t.undo(t.apply(b"abcd", "FLIPD1"), "FLIPD1", 4) == b"abcd"
+    for name in ("BIT", "no", "X"):
+        with pytest.raises(ValueError):
+            t.register(name, bytes, lambda d, n: d)
