@@ -23,8 +23,10 @@ text that contains the mark U+2581 decodes with spaces in its place; an empty ta
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,40 +36,126 @@ from bytequarry.llm.common import append_columns, column_bytes, fresh_name, mate
 from bytequarry.llm.unigram import MARK, Vocabulary
 
 GIANT_CHARS, CHUNK_CHARS = 1 << 16, 1 << 14
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 200_000
+#: Words of up to so many characters, of the so many commonest characters, are segmented together.
+DENSE_CHARS, DENSE_ALPHABET = 24, 110
+GROUP = 2048  # words at a time: their tables stay in the processor's cache
 _LOW = -np.inf
 
 
+class DenseTrie:
+    """The pieces made of the commonest characters, as a transition table: segments many short words at once.
+
+    All words move together: from every place, the table is walked as long as some word's characters lead on, and each
+    piece on the way improves its end. Words with other characters are left to the caller.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, characters: int = DENSE_ALPHABET):
+        alone = Counter(c for p in vocabulary.scores for c in p if c in vocabulary.scores)
+        kept = {c: i + 1 for i, (c, _) in enumerate(alone.most_common(characters))}
+        self.classes = np.zeros(max(map(ord, kept), default=0) + 2, np.uint8)
+        for c, i in kept.items():
+            self.classes[ord(c)] = i
+        child: dict[tuple[int, int], int] = {}
+        score, ids = [_LOW, _LOW], [0, 0]  # node 0 leads nowhere, node 1 is the root
+        for piece, (value, number) in vocabulary.scores.items():
+            if all(c in kept for c in piece):
+                node = 1
+                for c in piece:
+                    node = child.setdefault((node, kept[c]), len(score))
+                    if node == len(score):
+                        score.append(_LOW), ids.append(0)
+                score[node], ids[node] = value, number
+        self.step = np.zeros((len(score), len(kept) + 1), np.int32)
+        self.step[tuple(np.array(list(child), np.int64).reshape(-1, 2).T)] = list(child.values())
+        self.score, self.ids = np.array(score), np.array(ids, np.int32)
+
+    def segment(self, words: list[str]) -> dict[str, bytes | None]:
+        """Ids of each word as int32 bytes; None for a word with other characters."""
+        words = sorted(words, key=len)
+        made = [x for i in range(0, len(words), GROUP) for x in self._segment_group(words[i : i + GROUP])]
+        return dict(zip(words, made))
+
+    def _segment_group(self, words: list[str]) -> list[bytes | None]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable")
+        sizes, most = lengths[order], int(lengths.max())
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self.classes[np.minimum(codes, len(self.classes) - 1)]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
+        at = np.arange(most)
+        table = np.where(at < sizes[:, None], kinds[np.minimum(starts[:, None] + at, len(kinds) - 1)], 0)
+        best, back, ids = np.full((len(words), most + 1), _LOW), np.zeros((len(words), most + 1), np.int8), np.zeros((len(words), most + 1), np.int32)
+        best[:, 0] = 0.0
+        for start in range(most):
+            rows = np.arange(np.searchsorted(-sizes, -start))  # longer words come first
+            state = np.ones(len(rows), np.int32)
+            for end in range(start + 1, most + 1):
+                state = self.step[state, table[rows, end - 1]]
+                rows, state = rows[state > 0], state[state > 0]
+                if not len(rows):
+                    break
+                total = best[rows, start] + self.score[state]
+                better = total > best[rows, end]
+                won = rows[better]
+                best[won, end], back[won, end], ids[won, end] = total[better], start, self.ids[state[better]]
+        out: list[bytes | None] = [None] * len(words)
+        found, count, place, row = np.zeros((len(words), most), np.int32), np.zeros(len(words), np.int64), sizes.copy(), np.arange(len(words))
+        row = row[best[row, place] > _LOW]
+        whole = row
+        while len(row):  # from the last piece to the first, written from the right
+            count[row] += 1
+            found[row, most - count[row]] = ids[row, place[row]]
+            place[row] = back[row, place[row]]
+            row = row[place[row] > 0]
+        for r in whole.tolist():
+            out[order[r]] = found[r, most - count[r] :].tobytes()
+        return out
+
+
 class Segmenter:
     """Best paths over stretches of prepared text."""
 
     def __init__(self, vocabulary: Vocabulary, cache_tokens: int = CACHE_TOKENS):
         self.vocabulary, self.cache_tokens = vocabulary, cache_tokens
-        self.states = vocabulary.longest
-        self.cache: dict[str, tuple[list[int], float]] = {}
+        self.states, self.prefixes = vocabulary.longest, vocabulary.prefixes
+        self.dense = DenseTrie(vocabulary)
+        self.cache: dict[str, bytes] = {}
+        self.stretch_scores: dict[str, float] = {}
 
     def edges(self, text: str, at: int) -> list[tuple[int, float, object]]:
         """(end, score, id or the unknown character) of what can start at `at`, shortest first."""
-        scores, out = self.vocabulary.scores, []
-        for end in range(at + 1, min(len(text), at + self.states) + 1):
-            found = scores.get(text[at:end])
-            if found is not None:
+        prefixes, out, end = self.prefixes, [], at + 1
+        found = prefixes.get(text[at:end], False)
+        if not found:
+            out.append((end, self.vocabulary.unknown_score, text[at]))
+        while found is not False and end <= len(text):
+            if found:
                 out.append((end, *found))
-            elif end == at + 1:
-                out.append((end, self.vocabulary.unknown_score, text[at]))
+            end += 1
+            found = prefixes.get(text[at:end], False)
         return out
 
     def forward(self, text: str, starts: int, entry: np.ndarray) -> tuple[list[float], list]:
         """Scores and back pointers (start, id) of all places; pieces start before `starts`."""
         best, back = [_LOW] * (len(text) + 1), [None] * (len(text) + 1)
         best[: min(len(entry), len(best))] = entry[: len(best)].tolist()
+        prefixes, n, unknown = self.prefixes.get, len(text), self.vocabulary.unknown_score
         for at in range(starts):
             here = best[at]
             if here == _LOW:
                 continue
-            for end, score, what in self.edges(text, at):
-                if here + score > best[end]:
-                    best[end], back[end] = here + score, (at, what)
+            end = at + 1
+            found = prefixes(text[at:end], False)
+            if not found and here + unknown > best[end]:  # the character is no piece
+                best[end], back[end] = here + unknown, (at, text[at])
+            while found is not False:
+                if found and here + found[0] > best[end]:
+                    best[end], back[end] = here + found[0], (at, found[1])
+                end += 1
+                if end > n:
+                    break
+                found = prefixes(text[at:end], False)
         return best, back
 
     def trace(self, back: list, at: int) -> tuple[list[int], int]:
@@ -78,26 +166,70 @@ class Segmenter:
             parts.append([what] if isinstance(what, int) else self.vocabulary.unknown_tokens(what))
         return [i for p in reversed(parts) for i in p], at
 
-    def token(self, token: str) -> tuple[list[int], float]:
-        """Ids and score of a stretch between two forced cuts."""
+    def score(self, token: str) -> float:
+        """Score of a stretch between two forced cuts."""
+        if token not in self.stretch_scores:
+            if len(self.stretch_scores) >= self.cache_tokens:
+                self.stretch_scores.clear()
+            self.stretch_scores[token] = self.forward(token, len(token), np.zeros(1))[0][-1]
+        return self.stretch_scores[token]
+
+    def cached(self, token: str) -> bytes:
         found = self.cache.get(token)
         if found is None:
             if len(self.cache) >= self.cache_tokens:
                 self.cache.clear()
-            best, back = self.forward(token, len(token), np.zeros(1))
-            found = self.cache[token] = (self.trace(back, len(token))[0], best[-1])
+            found = self.cache[token] = self._segment(token)
         return found
 
+    def _segment(self, token: str) -> bytes:
+        """forward() and trace() for the common case: one entry, all of the text. The ids as int32 bytes."""
+        n, prefixes, unknown = len(token), self.prefixes.get, self.vocabulary.unknown_score
+        best, start = [_LOW] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for at in range(n):
+            here, end = best[at], at + 1
+            found = prefixes(token[at:end], False)
+            if not found and here + unknown > best[end]:
+                best[end], start[end] = here + unknown, at
+            while found is not False:
+                if found and here + found[0] > best[end]:
+                    best[end], start[end] = here + found[0], at
+                end += 1
+                if end > n:
+                    break
+                found = prefixes(token[at:end], False)
+        ids, end, known = [], n, self.vocabulary.scores.get
+        while end:
+            at = start[end]
+            found = known(token[at:end])
+            if found:
+                ids.append(found[1])
+            else:
+                ids += reversed(self.vocabulary.unknown_tokens(token[at]))
+            end = at
+        ids.reverse()
+        return array("i", ids).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
-        tokens, out = self.vocabulary.pre_tokens.findall(text), []
-        try:
-            for ids, _ in map(self.cache.__getitem__, tokens):
-                out += ids
-        except KeyError:
-            out = []
-            for token in tokens:
-                out += self.token(token)[0]
-        return np.array(out, np.int32)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        cut, cache = self.vocabulary.pre_tokens.findall, self.cache
+        if len(cache) >= self.cache_tokens:
+            cache.clear()
+        tokens = [cut(t) for t in texts]
+        found = [list(map(cache.get, ts)) for ts in tokens]
+        missing = [[j for j, ids in enumerate(row) if ids is None] for row in found]
+        new = {ts[j] for ts, at in zip(tokens, missing) for j in at}
+        cache.update(self.dense.segment([x for x in new if len(x) <= DENSE_CHARS]))
+        for token in new:
+            if cache.get(token) is None:
+                cache[token] = self._segment(token)
+        for ts, row, at in zip(tokens, found, missing):
+            for j in at:
+                row[j] = cache[ts[j]]
+        return [np.frombuffer(b"".join(row), np.int32) for row in found]
 
     # --- chunks: `text` is the chunk and up to states - 1 characters after it, `size` the chunk's length
 
@@ -127,7 +259,7 @@ class Segmenter:
                     np.maximum(scores[to], row + score, out=scores[to])
         if not cuts:
             return scores[size : size + n].T.copy()
-        between = sum(self.token(text[a:b])[1] for a, b in zip(cuts, cuts[1:]))
+        between = sum(self.score(text[a:b]) for a, b in zip(cuts, cuts[1:]))
         return scores[end][:, None] + between + self.tail(text, size, cuts[-1])[0][None, :]
 
     def entry_states(self, text: str, size: int, entry: np.ndarray) -> np.ndarray:
@@ -149,7 +281,7 @@ class Segmenter:
             return np.array(self.trace(self.forward(text, size, entry)[1], size + exit_state)[0], np.int32)
         ids = self.trace(self.forward(text[: cuts[0]], cuts[0], entry)[1], cuts[0])[0]
         for a, b in zip(cuts, cuts[1:]):
-            ids += self.token(text[a:b])[0]
+            ids += np.frombuffer(self.cached(text[a:b]), np.int32).tolist()
         ids += self.trace(self.tail(text, size, cuts[-1])[1], size - cuts[-1] + exit_state)[0]
         return np.array(ids, np.int32)
 
@@ -206,25 +338,41 @@ def encode(
     text_col: str = "text",
     giant_chars: int = GIANT_CHARS,
     chunk_chars: int = CHUNK_CHARS,
+    check: str | None = None,
 ) -> tuple[DataFrame, str]:
-    """docs with the ids of every text, in place of the text; also the name of the ids' column (array<int>)."""
+    """docs with the ids of every text, in place of the text; also the name of the ids' column (array<int>).
+
+    With `check`, a column of that name tells whether decoding a row's ids gives its text back. Texts that are one
+    chunk are decoded where they were encoded: a second pass would hold the vocabulary in twice as many workers.
+    """
     chunk_chars = max(chunk_chars, vocabulary.longest)
     sent, name = docs.sparkSession.sparkContext.broadcast(vocabulary), fresh_name(docs, "ids")
+    checked = check is not None
     giant = F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)) > giant_chars
 
     def make():
-        own = held_segmenter(sent)
+        own, back = held_segmenter(sent), held_decoder(sent) if checked else None
 
         def work(texts):
-            found = [own.encode(Vocabulary.prepare(t.decode("utf-8", "replace")) if t else "") for t in texts]
-            return [pa.array(found, pa.list_(pa.int32()))]
+            found = own.encode_many([Vocabulary.prepare(t.decode("utf-8", "replace")) if t else "" for t in texts])
+            made = [pa.array(found, pa.list_(pa.int32()))]
+            if checked:
+                made.append(pa.array([back.decode(ids.tolist()) == (t or b"") for ids, t in zip(found, texts)], pa.bool_()))
+            return made
 
         return work
 
-    small = append_columns(docs.where(~giant), text_col, [(name, T.ArrayType(T.IntegerType()))], make)
-    kept = [c for c in docs.columns if c != text_col]
-    large = encode_giants(docs.where(giant), sent, text_col, name, chunk_chars)
-    columns = [F.col(f"`{c}`") for c in [*kept, name]]
+    fields = [(name, T.ArrayType(T.IntegerType()))] + ([(check, T.BooleanType())] if checked else [])
+    small = append_columns(docs.where(~giant), text_col, fields, make)
+    large = docs.where(giant)
+    if checked:
+        digest = fresh_name(docs, "piece_digest")
+        large = encode_giants(large.withColumn(digest, F.sha2(F.col(f"`{text_col}`"), 256)), sent, text_col, name, chunk_chars)
+        large, text = decode(large, vocabulary, name)
+        large = large.withColumn(check, F.sha2(text, 256) == F.col(digest))
+    else:
+        large = encode_giants(large, sent, text_col, name, chunk_chars)
+    columns = [F.col(f"`{c}`") for c in [*(c for c in docs.columns if c != text_col), *(n for n, _ in fields)]]
     return small.select(columns).unionByName(large.select(columns)), name
 
 
@@ -269,7 +417,9 @@ def encode_giants(docs: DataFrame, sent, text_col: str, name: str, chunk_chars:
             number, k, size, text = (c.to_pylist() for c in batch.columns)
             yield _batch(matrix_schema, [number, k, [own.matrix(t, s).tobytes() for s, t in zip(size, text)]])
 
-    def boundary_scores(rows: pd.DataFrame) -> pd.DataFrame:
+    def boundary_scores(rows):
+        import pandas as pd  # only here and below: the other workers stay smaller without it
+
         rows = rows.sort_values("k")
         n = int(round((len(rows["matrix"].iloc[0]) // 8) ** 0.5))
         stack = np.array([np.frombuffer(m).reshape(n, n) for m in rows["matrix"]])
@@ -290,7 +440,9 @@ def encode_giants(docs: DataFrame, sent, text_col: str, name: str, chunk_chars:
             number, k, size, text, entry = (c.to_pylist() for c in batch.columns)
             yield _batch(map_schema, [number, k, [own.entry_states(t, s, np.frombuffer(e)).tobytes() for s, t, e in zip(size, text, entry)]])
 
-    def exit_states(rows: pd.DataFrame) -> pd.DataFrame:
+    def exit_states(rows):
+        import pandas as pd
+
         rows = rows.sort_values("k", ascending=False)
         state, out = 0, []
         for m in rows["states"]:
