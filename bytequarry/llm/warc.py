@@ -57,7 +57,7 @@ _BREAKS = set(
     "address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
 )
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*)|[!?/])")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LANG = re.compile(r"""\slang\s*=\s*["']?([a-zA-Z0-9-]+)""", re.I)
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)

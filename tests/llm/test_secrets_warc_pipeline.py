@@ -1,0 +1,194 @@
+"""Secret scan, WARC derivatives and the pipeline."""
+
+import re
+
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from bytequarry.llm import decontamination, line_dedup, quality_rules, secret_scan, simhash, warc
+
+# --- secrets -----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.example_findings(spark, 3000))
+
+
+def brute_candidates(text):
+    return [(m.start(), m.group()) for m in re.finditer(secret_scan.PATTERN, text or "")]
+
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+SECRET_TEXTS = [
+    None, "", "no candidates here", f'token = "{HEX}"', f'🙂é token = "{HEX}" and password=\'Zx81hfT0aaQ2\' tail', f"commit {HEX}", f"{HEX}", "see https://example.com/a/b/c/d1e2f3a4b5c6d7",
+    "x" * 5000 + "1", ("w " * 400 + f'api_key: "{HEX}" ') * 40, "aaaaaaaaaaaaaaaaaaaa", "'shortish' \"quoted8\"", f'TOKEN = "{HEX.upper()}"!!', "id 9807915762804490 x", f'secret="{HEX}"secret="{HEX}"',
+]
+
+
+def test_candidates(spark):
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate([*SECRET_TEXTS, SECRET_TEXTS[3]])], "doc_id long, text string, start long")
+    got = {}
+    for r in secret_scan.candidates(rows, "text", None, ["doc_id"]).collect():
+        got.setdefault(r.doc_id, []).append((r["start"], r.candidate))
+        text = [*SECRET_TEXTS, SECRET_TEXTS[3]][r.doc_id]
+        assert text[: r["start"]].endswith(r.before) and text[r["start"] + r["length"] :].startswith(r.after)
+    want = {i: brute_candidates(t) for i, t in enumerate([*SECRET_TEXTS, SECRET_TEXTS[3]]) if brute_candidates(t)}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert secret_scan.candidates(rows.limit(0), "text", None, ["doc_id"]).count() == 0
+
+
+def test_findings(spark, forest):
+    rows = spark.createDataFrame([(i, t, None if i % 2 else "src0") for i, t in enumerate(SECRET_TEXTS)], "doc_id long, text string, source string")
+    found = secret_scan.scan(rows, forest, "text", "source", ["doc_id"])
+    secrets = {(r.doc_id, r.candidate) for r in found.where("is_secret").collect()}
+    assert {(3, HEX), (4, HEX), (9, HEX), (12, HEX.upper())} <= secrets
+    assert not {i for i, _ in secrets} & {5, 7, 8, 10, 13}
+    assert {c for c, in found.select("score").collect() if not 0 <= c <= 1} == set()
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    rows = secret_scan.example_findings(spark, 6000).limit(6000)
+    seen = secret_scan.example_findings(spark, 3000)
+    fresh = rows.join(seen, ["before", "candidate", "after", "path"], "left_anti")
+    made = secret_scan.features(F.col("before"), F.col("candidate"), F.col("after"), F.col("path"))
+    scored = fresh.withColumn("f", F.array(*[m.cast("double") for m in made])).withColumn("p", (secret_scan.forest_score(forest, F.col("f")) >= 0.5).cast("int"))
+    right, n = scored.agg(F.avg((F.col("p") == F.col("label")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 2000 and right > 0.93
+
+
+def test_training_is_bounded_and_repeatable(spark):
+    rows = secret_scan.example_findings(spark, 600)
+    odd = rows.unionByName(spark.createDataFrame([(None, None, None, None, 0), ("a", "b", "c", "d", None)], rows.schema))
+    one, two = (secret_scan.train(x, 3, 3, max_findings=400) for x in (odd, odd.repartition(5)))
+    assert one == two and len(one) == 3
+
+
+def test_scores_equal_those_of_the_model(spark):
+    tree = {"feature": [0, -1, 1, -1, -1], "threshold": [5.0, 0, 2.0, 0, 0], "left": [1, 1, 3, 3, 4], "right": [2, 1, 4, 3, 4], "value": [0.5, 0.1, 0.5, 0.4, 0.9]}
+    rows = spark.createDataFrame([([5.0, 9.0],), ([6.0, 2.0],), ([6.0, 3.0],)], "f array<double>")
+    got = [r[0] for r in rows.select(secret_scan.forest_score([tree], F.col("f"), 2)).collect()]
+    assert got == [0.1, 0.4, 0.9]
+
+
+# --- WARC --------------------------------------------------------------------------------------------
+
+HTML = """<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><style>p{}</style><script>var x="</p>";</script></head>
+<body><!-- gone --><p>One<b>two</b> three&nbsp;&eacute;<br>four<p title="a > b">five <a href="/x?y=1&amp;z=2">link</a> <A HREF=rel>r</A></p><ul><li>i<li>j</ul></body></html>"""
+
+
+def test_extract():
+    text, title, lang, links = warc.extract(HTML, "http://h.example/d/")
+    assert text == "A & B\nOnetwo three é\nfour\nfive link r\ni\nj"
+    assert (title, lang, links) == ("A & B", "fr", ["http://h.example/x?y=1&z=2", "http://h.example/d/rel"])
+
+
+@pytest.mark.parametrize(
+    "markup,text",
+    [("", ""), ("plain", "plain"), ("a<!-- b", "a"), ("a<script>b", "a"), ("a<p", "a"), ("1 < 2 > 1", "1 < 2 > 1"), ("<p>a</p" * 3, "a\na\na"), ("<b>" * 20000 + "x", "x"), ("<!--" * 20000, ""), ("<a '" * 3000, "")],
+)
+def test_extract_odd_markup(markup, text):
+    assert warc.extract(markup)[0] == text
+
+
+def test_responses_and_codings():
+    import gzip
+
+    page = "é".encode("latin-1")
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=latin-1\r\nX-Long: a\r\n b\r\n"
+    for extra, body in ((b"", page), (b"Content-Encoding: gzip\r\n", gzip.compress(page)), (b"Transfer-Encoding: chunked\r\n", b"1\r\n\xe9\r\n0\r\n\r\n")):
+        meta, text = warc.derive_one("<urn:uuid:1>", "http://e/", "d", head + extra + b"\r\n" + body)
+        assert text[-1] == "é".encode() and b"http-header-X-Long: a b\r\n" in meta[-1]
+        assert meta[2] == text[2] == "<urn:uuid:1>" and meta[7] == text[7] == warc.digest(body)
+    assert warc.derive_one("i", None, None, head + b"Content-Encoding: gzip\r\n\r\nnot gzip")[1][-1] == b"not gzip"
+    assert [r[-1] for r in warc.derive_one("i", None, None, None)] == [b"", b""]
+    assert warc.derive_one("i", "u", "d", b"<p>no header</p>")[1][-1] == b"no header"
+    assert warc.derive_one("i", "u", "d", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG")[1][-1] == b""
+
+
+def test_records(spark):
+    pages = spark.createDataFrame([(1, "http://a/", HTML, 5), (2, None, None, 5), (3, "http://b/", "", 5), (1, "http://a/", HTML, 5), (None, "http://c/", "é", 5)], "page_id long, url string, html string, block int")
+    rows = warc.derive(warc.responses_from_pages(pages)).collect()
+    assert len(rows) == 10 and len({r.record_id for r in rows}) == 8
+    ids = {(r.source_id, r.warc_type): r for r in rows}
+    assert ids[1, "metadata"].refers_to == ids[1, "conversion"].refers_to
+    assert all(warc.digest(bytes(r.block)) == r.block_digest and len(r.block) == r.content_length for r in rows)
+    assert ids[2, "conversion"].target_uri is None and bytes(ids[None, "conversion"].block) == "é".encode()
+    again = warc.derive(warc.responses_from_pages(pages.repartition(3))).collect()
+    assert sorted(r.record_id for r in rows) == sorted(r.record_id for r in again)
+    assert warc.derive(warc.responses_from_pages(pages.limit(0))).count() == 0
+
+
+def test_serialized_records_read_back(spark):
+    rows = warc.derive(warc.responses_from_pages(spark.read.parquet(f"{SF}/pages.parquet").limit(20))).collect()
+    data = b"".join(map(warc.serialize, rows))
+    back = list(warc.parse_records(data))
+    assert [b for _, b in back] == [bytes(r.block) for r in rows]
+    assert [h["WARC-Refers-To"] for h, _ in back] == [r.refers_to for r in rows]
+    assert all(h["WARC-Block-Digest"] == warc.digest(b) for h, b in back)
+
+
+# --- pipeline ----------------------------------------------------------------------------------------
+
+
+def _docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_stages_keep_the_columns(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece"]
+    docs = _docs(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == _docs(spark).columns and docs.dtypes == _docs(spark).dtypes
+
+
+def test_run_is_what_the_stages_say(spark):
+    """Each stage's decisions by plain code over what the stage before kept."""
+    texts = {r.doc_id: r.text for r in _docs(spark).collect()}
+    docs = _docs(spark)
+    judged, names = quality_rules.judge(*quality_rules.with_statistics(docs))
+    kept = {r.doc_id for r in judged.collect() if r.kept}
+    assert kept < set(texts) and all(len((texts[i] or "").split()) >= 50 for i in kept)
+    lines = {i: (texts[i] or "").split("\n") for i in kept}
+    key = lambda x: bytes(x.strip(" \t\n\x0b\x0c\r"), "utf-8").lower()
+    counts = {}
+    for ls in lines.values():
+        for k in {key(x) for x in ls} - {b""}:
+            counts[k] = counts.get(k, 0) + 1
+    left = {i: "\n".join(x for x in ls if counts.get(key(x), 0) < line_dedup.MIN_DOCS) for i, ls in lines.items()}
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in left.items()}
+    group = {}
+    for i in sorted(prints):
+        near = {group[j] for j in group if (prints[i] ^ prints[j]).bit_count() <= 3}
+        group[i] = min(near, default=i)
+        for j in group:
+            group[j] = min(near) if group[j] in near else group[j]
+    first = {i for i in group if group[i] == i}
+    bench = [(r.item_id, decontamination.split_words(r.text.encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = set()
+    for i in first:
+        words = decontamination.split_words(left[i].encode())
+        hit = {s + k for w in decontamination.searchers([(str(a), b) for a, b in bench]) for s, _ in w.search(words) for k in range(w.length)}
+        if not (hit and 20 * len(hit) >= len(words)):
+            clean.add(i)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in rows} == clean and len(rows) == len(clean)
+    assert all(r.round_trip and r.n_chars == len(left[r.doc_id]) and r.n_tokens == len(r["ids"]) for r in rows)
+
+
+def test_stages_on_odd_rows(spark):
+    schema = _docs(spark).schema
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, None, None, None), (1, text, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (None, text + " more", "en", "s", 5), (4, text + "\n" + "z " * 60000, "en", "s", 5)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema).withColumn("kept", F.lit("x")).withColumn("ids", F.lit(2))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            assert out.count() <= len(data)
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert last.count() == len(data)
