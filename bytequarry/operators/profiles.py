@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,10 +90,9 @@ def class_stats(rows: DataFrame) -> DataFrame:
         F.avg("eq16").alias("avg_eq16"),
         F.avg("eq256").alias("avg_eq256"),
     )
-    total = by_class.agg(F.sum("excess").alias("total"))  # one row
-    return by_class.crossJoin(F.broadcast(total)).select(
-        *by_class.columns, F.when(F.col("total") > 0, F.col("excess") / F.col("total")).otherwise(0.0).alias("excess_share")
-    )
+    # there are as many rows as classes: one task sums them, and the profiles are not computed again for the total
+    total = F.sum("excess").over(Window.partitionBy())
+    return by_class.withColumn("excess_share", F.when(total > 0, F.col("excess") / total).otherwise(0.0))
 
 
 def worst(rows: DataFrame, order: list[str], k: int = 30) -> DataFrame:
