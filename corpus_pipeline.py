@@ -7,12 +7,25 @@ stage's docs. All stages but the last return the columns of docs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm import decontamination, line_dedup, piece_codec, quality_rules, simhash, unigram
 from bytequarry.llm.common import fresh_name, materialize
+from bytequarry.shipping import ship
+
+
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after the workers have been given the package."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,26 +52,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, ids, n_tokens and whether decoding the ids gives the text back."""
-    vocabulary = unigram.Vocabulary.load()
-    digest = fresh_name(docs, "text_sha256")
-    told = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded, ids = piece_codec.encode(told, vocabulary)
-    decoded, text = piece_codec.decode(encoded, vocabulary, ids)
-    return decoded.select(
+    """The columns of docs without the text, its ids, n_tokens, and whether decoding the ids gives the text back."""
+    check = fresh_name(docs, "round_trip")
+    encoded, ids = piece_codec.encode(docs, unigram.Vocabulary.load(), check=check)
+    return encoded.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
-        F.col(ids).alias("ids"),
-        F.size(ids).cast("long").alias("n_tokens"),
-        (F.sha2(text, 256) == F.col(digest)).alias("round_trip"),
+        ids,
+        F.size(ids).cast("long").alias(fresh_name(docs, "n_tokens")),
+        check,
     )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("simhash_near_dedup", near_duplicates),
-    ("benchmark_decontamination", decontaminate),
-    ("sentencepiece", pieces),
+    ("quality_rules", _shipped(quality)),
+    ("line_dedup", _shipped(lines)),
+    ("simhash_near_dedup", _shipped(near_duplicates)),
+    ("benchmark_decontamination", _shipped(decontaminate)),
+    ("sentencepiece", _shipped(pieces)),
 ]
 
 #: The fingerprints' hash and the estimates of the quality rules are beyond SQL.
