@@ -294,9 +294,10 @@ def near_duplicates(
 
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one row of every group: the one with the least id (rows that repeat it leave one row)."""
-    found = near_duplicates(docs, text_col, id_col, **options)
+    found = materialize(near_duplicates(docs, text_col, id_col, **options), "groups-of-rows")
     key = fresh_name(docs, "simhash_id")
     lead = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
-    # only a least id leads, so the join leaves at most the rows of that id
     kept = docs.join(lead, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_semi")
-    return kept.dropDuplicates([id_col])
+    # the texts are shuffled once; a second time only if some id has several rows, of which one is to stay
+    repeated = found.groupBy("id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([id_col]) if repeated else kept

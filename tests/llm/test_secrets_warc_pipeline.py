@@ -191,4 +191,4 @@ def test_stages_on_odd_rows(spark):
             assert out.columns == docs.columns
             assert out.count() <= len(data)
         last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-        assert last.count() == len(data)
+        assert len({c.lower() for c in last.columns}) == len(last.columns) and last.count() == len(data)
