@@ -31,12 +31,14 @@ def from_text(df: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES
     return cut(df, key, F.encode(F.col(text), "UTF-8"), chunk_bytes)
 
 
-def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(rel, raw, content, path) of one file, or of every file under a directory."""
+def files(spark: SparkSession, path: str, glob: str | None = None, keep_empty: bool = False) -> DataFrame:
+    """(rel, raw, content, path) of one file, or of every file under a directory; empty files only if asked for, since
+    they take another look at the listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    found = _with_empty_files(spark, reader.load(path))
+    found = reader.load(path)
+    found = _with_empty_files(spark, found) if keep_empty else found
     root = path.split("://")[-1].strip("/") + "/"
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "")
     # below a directory the name is what follows it; a single file goes by its own name
@@ -58,7 +60,7 @@ def from_files(
     spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, glob: str | None = None, keep_empty: bool = False
 ) -> DataFrame:
     """Chunks of files, keyed by the name relative to `path`; with keep_empty an empty file is one empty chunk."""
-    found = files(spark, path, glob)
+    found = files(spark, path, glob, keep_empty)
     made = cut(found, "rel", F.col("content"), chunk_bytes)
     if keep_empty:
         empty = found.where("raw = 0").select(F.col("rel").alias("key"), F.lit(0).alias("chunk"), "raw", "content")
@@ -68,7 +70,7 @@ def from_files(
 
 def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(rel, raw), sorted by name: what an archive of `path` holds. Contents are not read."""
-    return files(spark, path, glob).select("rel", "raw").orderBy("rel")
+    return files(spark, path, glob, keep_empty=True).select("rel", "raw").orderBy("rel")
 
 
 SMALL_BYTES = 256 << 20
