@@ -75,10 +75,12 @@ def append_columns(
     text_col: str,
     fields: list[tuple[str, DataType]],
     make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]],
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """df with columns computed from one string column, batch by batch and without a shuffle.
 
-    make() runs once per task and returns a function from UTF-8 values to one Arrow array per field.
+    make() runs once per task and returns a function from UTF-8 values to one Arrow array per field; finish() runs when
+    the task ends, to free what an idle worker should not hold.
     Every column of df passes through. The new names must not occur in df (see fresh_name).
     """
     schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in fields)])
@@ -87,10 +89,14 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                made = work(column_bytes(part.column(at)))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(start, SLICE_ROWS)
+                    made = work(column_bytes(part.column(at)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+        finally:
+            if finish:
+                finish()
 
     return df.mapInArrow(run, schema)

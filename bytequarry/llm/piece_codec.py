@@ -36,7 +36,7 @@ from bytequarry.llm.common import append_columns, column_bytes, fresh_name, mate
 from bytequarry.llm.unigram import MARK, Vocabulary
 
 GIANT_CHARS, CHUNK_CHARS = 1 << 16, 1 << 14
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 150_000
 #: Words of up to so many characters, of the so many commonest characters, are segmented together.
 DENSE_CHARS, DENSE_ALPHABET = 24, 110
 GROUP = 2048  # words at a time: their tables stay in the processor's cache
@@ -231,6 +231,10 @@ class Segmenter:
                 row[j] = cache[ts[j]]
         return [np.frombuffer(b"".join(row), np.int32) for row in found]
 
+    def forget(self) -> None:
+        """Frees the caches; the vocabulary's tables stay."""
+        self.cache, self.stretch_scores = {}, {}
+
     # --- chunks: `text` is the chunk and up to states - 1 characters after it, `size` the chunk's length
 
     def cuts(self, text: str, size: int) -> list[int]:
@@ -363,7 +367,7 @@ def encode(
         return work
 
     fields = [(name, T.ArrayType(T.IntegerType()))] + ([(check, T.BooleanType())] if checked else [])
-    small = append_columns(docs.where(~giant), text_col, fields, make)
+    small = append_columns(docs.where(~giant), text_col, fields, make, lambda: held_segmenter(sent).forget())
     large = docs.where(giant)
     if checked:
         digest = fresh_name(docs, "piece_digest")
