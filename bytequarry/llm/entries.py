@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm import chat_format, decontamination, line_dedup, piece_codec, quality_classifier, quality_rules, secret_scan, simhash, unigram, warc
+from bytequarry.sources.chunks import balance
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents", columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """These columns of a table; a small table that lies in few files is dealt out over all cores."""
+    return balance(_table(spark, sf_dir, name).select(*columns))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secret_scan.train(secret_scan.example_findings(spark))
     found = secret_scan.scan(_table(spark, sf_dir, "documents"), forest, "text", "source", ["doc_id"])
@@ -21,17 +27,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     return unigram.count_tokens(docs, unigram.Vocabulary.load())[0].drop("text")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(_texts(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     weights = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
     scored = quality_classifier.score(docs, weights, "text", "score")
     return scored.select(
@@ -43,13 +49,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     out, _, _ = line_dedup.dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     found, _ = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -62,7 +68,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     encoded, ids = piece_codec.encode(docs, unigram.Vocabulary.load(), check="round_trip")
     return encoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids, "round_trip")
 
@@ -90,7 +96,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+    records = warc.derive(warc.responses_from_pages(_texts(spark, sf_dir, "pages", ("page_id", "url", "html"))))
     return records.withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
 
 
