@@ -77,11 +77,11 @@ SMALL_BYTES = 256 << 20
 
 
 def balance(df: DataFrame) -> DataFrame:
-    """Deal a small input that came in fewer partitions than there are cores out over all of them, so that a kernel does
-    not run in one task. Larger inputs stay where they are: a shuffle would cost more than idle cores."""
+    """Deal a small table that lies in fewer files than there are cores out over all of them, so that a kernel does not
+    run in one task. Larger tables stay as they are: a shuffle would cost more than idle cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL_BYTES and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= SMALL_BYTES and 0 < len(df.inputFiles()) < cores else df
 
 
 def spread(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
