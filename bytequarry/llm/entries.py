@@ -22,7 +22,7 @@ def _texts(spark: SparkSession, sf_dir: str, name: str = "documents", columns: t
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secret_scan.train(secret_scan.example_findings(spark))
-    found = secret_scan.scan(_table(spark, sf_dir, "documents"), forest, "text", "source", ["doc_id"])
+    found = secret_scan.scan(_texts(spark, sf_dir, columns=("doc_id", "text", "source")), forest, "text", "source", ["doc_id"])
     return found.select("doc_id", "start", "length", "candidate", "score", "is_secret")
 
 
@@ -101,7 +101,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = _texts(spark, sf_dir, columns=("doc_id", "text", "lang", "source"))
     counted, names = quality_rules.with_statistics(docs)
     stats = quality_rules.materialize(counted.drop("text"), "quality-counts")
     judged, _ = quality_rules.judge(stats, names)
