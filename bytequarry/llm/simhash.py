@@ -273,6 +273,13 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _grouped(prints: DataFrame, least: F.Column, radius: int, split_rows: int) -> DataFrame:
+    """(fp, least, root) of every fingerprint of prints; `least` is an aggregate of the fingerprint's rows, root names its group."""
+    distinct = prints.groupBy("fp").agg(least.alias("least"))
+    nodes = components(links(distinct.select("fp"), radius, split_rows))
+    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE,
     split_rows: int = SPLIT_ROWS,
@@ -283,21 +290,27 @@ def near_duplicates(
     """
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     prints = materialize(with_fingerprint(text, "text", "fp", shingle).select("id", "fp"), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = components(links(distinct.select("fp"), radius, split_rows))
-    grouped = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = materialize(grouped, "groups")
+    grouped = materialize(_grouped(prints, F.min("id"), radius, split_rows), "groups")
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = grouped.join(named, "root").select("fp", "component_id")
     return prints.join(labelled, "fp").select("id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of every group: the one with the least id (rows that repeat it leave one row)."""
-    found = materialize(near_duplicates(docs, text_col, id_col, **options), "groups-of-rows")
-    key = fresh_name(docs, "simhash_id")
-    lead = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
-    kept = docs.join(lead, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_semi")
-    # the texts are shuffled once; a second time only if some id has several rows, of which one is to stay
-    repeated = found.groupBy("id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+def keep_one_of_each(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE,
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """docs with one row of every group: the one with the least id, null ids last; of rows that share it, the first.
+
+    Groups and rows count, not ids: rows are numbered in a written table, so that null ids and ids of several texts
+    neither merge groups nor keep a group twice.
+    """
+    row = fresh_name(docs, "simhash_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-texts")
+    text = numbered.select(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    prints = materialize(with_fingerprint(text, "text", "fp", shingle).select("id", "row", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row"))
+    grouped = _grouped(prints, first, radius, split_rows)
+    lead = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    # the texts are shuffled once, by their row's number
+    return numbered.join(lead, row, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

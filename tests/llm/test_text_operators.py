@@ -237,6 +237,29 @@ def test_rows_without_ids(spark):
     assert got == [(-1, -1), (-1, 5), (5, 5)]
 
 
+A, B, C = "a b c d", "other words here now", "quite another third text"
+
+
+@pytest.mark.parametrize(
+    "rows,texts",
+    [
+        ([(None, A), (None, B), (None, C), (None, B)], [A, B, C]),  # no ids: every group keeps a row
+        ([(1, A), (2, A), (2, B), (3, B)], [A, B]),  # an id on two texts
+        ([(7, A), (7, B), (7, C), (7, C)], [A, B, C]),
+        ([(None, A), (4, A), (None, B)], [A, B]),
+    ],
+)
+def test_one_row_of_every_group_whatever_the_ids(spark, rows, texts):
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, simhash_row int")
+    got = simhash.keep_one_of_each(table)
+    assert got.columns == table.columns
+    kept = got.collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    for r in kept:
+        ids = [i for i, t in rows if t == r.text and i is not None]
+        assert r.doc_id == min(ids, default=None) and rows[r.simhash_row] == (r.doc_id, r.text)
+
+
 # --- quality rules -----------------------------------------------------------------------------------
 
 
