@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
-Candidates are runs of 16 or more of `A-Za-z0-9+/_=.-` with a digit, and quoted runs of 8 or more. The text around
-them gives each candidate its neighbouring words. Features: the length; character transitions (changes of character
+Candidates are runs of `A-Za-z0-9+/_.-`: of 16 or more with a digit, of 8 or more with a digit after `name=`, and
+quoted ones of 8 or more. `=` belongs to a candidate only as base64 padding at its end, so that the name of an
+assignment stays in the text before. The text around them gives each candidate its neighbouring words. Features: the length; character transitions (changes of character
 class, frequent letter pairs, longest runs, distinct characters); coverage by dictionary words; the path's words;
 words and signs just before and after. The forest is trained from labelled findings: rows (before, candidate, after,
 path, label). example_findings() makes such rows from a rule; any other table with these columns will do, of which at
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 
 from bytequarry.llm.common import materialize
 
-_RUN = "A-Za-z0-9+/_=.-"
-_NO_DIGIT = "A-Za-z+/_=.-"
-PATTERN = f"(?<![{_RUN}])(?:(?=[{_NO_DIGIT}]*+[0-9])[{_RUN}]{{16,}}+|(?<=[\"'])[{_RUN}]{{8,}}+(?=[\"']))"
+_RUN = "A-Za-z0-9+/_.-"
+_DIGIT = "(?=[A-Za-z+/_.-]*+[0-9])"
+_PADDED = f"(?:[{_RUN}]{{4}}){{%d,}}+(?:[{_RUN}]{{3}}=|[{_RUN}]{{2}}==)(?![{_RUN}=])"
+PATTERN = (
+    f"(?<![{_RUN}])(?:{_DIGIT}(?:{_PADDED % 3}|[{_RUN}]{{16,}}+)|(?<=[{_RUN}]=){_DIGIT}(?:{_PADDED % 1}|[{_RUN}]{{8,}}+)"
+    f"|(?<=[\"'])(?=[^\"']{{8}})[{_RUN}]++={{0,2}}(?=[\"']))"
+)
 CONTEXT = 48  # characters kept before and after a candidate
 TREES, DEPTH, SEED = 24, 7, 11
 MAX_FINDINGS = 20_000
@@ -107,6 +112,17 @@ def example_findings(spark: SparkSession, n: int = 8000) -> DataFrame:
     size = (F.pmod(F.xxhash64(k, F.lit(2)), F.lit(25)) + 16).cast("int")
     random = F.when(k % 7 < 2, F.left(_any(k, 3), size)).when(k % 7 < 4, F.left(mixed, F.least(size, F.lit(40))))
     random = random.when(k % 7 == 4, _any(k, 4)).when(k % 7 == 5, F.left(_any(k, 3), F.lit(40))).otherwise(F.upper(F.left(_any(k, 5), F.lit(40))))
+    # token formats with separators, and base64 as it stands
+    letters = lambda salt, n: F.left(F.regexp_replace(F.base64(F.unhex(_any(k, salt))), "[+/=]", "9"), F.lit(n))
+    digits = lambda salt, n: F.left(F.translate(_any(k, salt), "abcdef", "123456"), F.lit(n))
+    plain, safe = F.base64(F.unhex(_any(k, 41))), F.translate(F.base64(F.unhex(_any(k, 42))), "+/=", "-_")
+    formats = [
+        plain, F.base64(F.unhex(F.left(_any(k, 43), F.lit(32)))), safe, F.concat(F.lit("ghp_"), letters(44, 36)), F.concat(F.lit("sk-proj-"), letters(45, 32)),
+        F.concat_ws("-", F.lit("xoxb"), digits(46, 12), digits(47, 12), letters(48, 24)), F.concat_ws(".", F.concat(F.lit("eyJ"), letters(49, 17)), letters(50, 40), safe),
+        F.concat_ws("_", F.lit("sk"), F.lit("live"), letters(51, 24)),
+    ]
+    form = F.pmod(F.xxhash64(k, F.lit(40)), F.lit(2 * len(formats))).cast("int")
+    random = reduce(lambda acc, x: acc.when(form == x[0], x[1]), list(enumerate(formats))[1:], F.when(form == 0, formats[0])).otherwise(random)
     word = lambda salt: _pick(k, salt, DICTIONARY)
     lead = F.concat(word(6), F.lit(" "), word(7), F.lit(" "))
     told = _pick(k, 8, ['token = "', "TOKEN = \"", 'api_key: "', "secret='", "password=", "Authorization: Bearer ", 'auth_token": "', "export ACCESS_KEY=", "client_secret = '", 'private_key="', "apikey=", "credential: "])
@@ -211,7 +227,11 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = N
         "hits",
         lambda h, i: F.struct(
             h.alias("candidate"),
-            F.right(F.get("pieces", i), F.lit(CONTEXT)).alias("before"),
+            # across the candidate before it, which may be the name of an assignment
+            F.right(
+                F.concat(F.right(F.coalesce(F.get("pieces", i - 1), F.lit("")), F.lit(CONTEXT)), F.coalesce(F.get("hits", i - 1), F.lit("")), F.get("pieces", i)),
+                F.lit(CONTEXT),
+            ).alias("before"),
             F.left(F.get("pieces", i + 1), F.lit(CONTEXT)).alias("after"),
             F.length(F.get("pieces", i)).cast("long").alias("gap"),
         ),
