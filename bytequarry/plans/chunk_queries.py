@@ -17,6 +17,10 @@ def chunks(spark: SparkSession, sf_dir: str, chunk_bytes: int = CHUNK) -> DataFr
     return source.from_text(source.balance(docs), "doc_id", "text", chunk_bytes)
 
 
+def benchmark_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", CHUNK)
+
+
 def _ids(df: DataFrame, *more) -> DataFrame:
     return df.select(F.col("key").alias("doc_id"), "chunk", *more)
 
@@ -135,8 +139,15 @@ def _undone(name: str):
 
 def byte_rows_delta(spark, sf_dir):
     """The relational forms against each other: delta, transpose and back, on rows of single bytes."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = transforming.byte_rows(source.from_text(items, "item_id", "text", CHUNK))
+    return _byte_rows_delta(benchmark_chunks(spark, sf_dir))
+
+
+def documents_byte_rows_delta(spark, sf_dir):
+    return _byte_rows_delta(source.spread(chunks(spark, sf_dir))).withColumnRenamed("item_id", "doc_id")
+
+
+def _byte_rows_delta(given):
+    rows = transforming.byte_rows(given)
     there = transforming.rows_transpose(transforming.rows_xor(transforming.rows_delta(rows, 4), 3), 4)
     back = transforming.rows_undo_delta(transforming.rows_undo_xor(transforming.rows_transpose(there, 4, undo=True), 3), 4)
     same = transforming.from_rows(back).withColumnRenamed("raw", "back")
@@ -192,8 +203,15 @@ def top_lag_oracle(spark, sf_dir):
 
 def candidate_map(spark, sf_dir):
     """Every chunk's sizes by tag."""
-    items = source.from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", CHUNK)
-    return routing.size_map(routing.candidates(items, ["BASE", "D28T28", "X28T28", "DD28T28"])).select(F.col("key").alias("item_id"), "chunk", F.to_json("all").alias("sizes"))
+    return _candidate_map(benchmark_chunks(spark, sf_dir))
+
+
+def documents_candidate_map(spark, sf_dir):
+    return _candidate_map(source.spread(chunks(spark, sf_dir))).withColumnRenamed("item_id", "doc_id")
+
+
+def _candidate_map(given):
+    return routing.size_map(routing.candidates(given, ["BASE", "D28T28", "X28T28", "DD28T28"])).select(F.col("key").alias("item_id"), "chunk", F.to_json("all").alias("sizes"))
 
 
 def codec_round_trips(spark, sf_dir):
@@ -215,8 +233,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_scan, chunk_counts, byte_entropy, printable_share, eq_rate, sampled_lag_score, top3_lags, neighbour_residual_entropy,
-        repeat_rate_4gram, chain_depth_band, raw_gate, lazy_depth_band, chunk_class, class_stats, worst_chunks, byte_rows_delta,
-        best_mode_by_size, mode_histogram, oracle_rollup, routed_zlib, top_lag_oracle, candidate_map, codec_round_trips,
+        repeat_rate_4gram, chain_depth_band, raw_gate, lazy_depth_band, chunk_class, class_stats, worst_chunks, byte_rows_delta, documents_byte_rows_delta,
+        best_mode_by_size, mode_histogram, oracle_rollup, routed_zlib, top_lag_oracle, candidate_map, documents_candidate_map, codec_round_trips,
     )
 }
 QUERIES |= {"text_band_penalty": _penalties((1, 2, 3, 7, 8, 9)), "continuous_penalty": _penalties((4, 5, 6))}

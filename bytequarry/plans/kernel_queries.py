@@ -1,5 +1,5 @@
-"""Queries over parsed and packed chunks. The kernel is plain Python, so they read the benchmark's short texts or pages
-of documents, whole."""
+"""Queries over parsed and packed chunks: of the benchmark's short texts, which SQL can follow, and, as documents_...,
+of all chunks of documents."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bytequarry.functions import lz, scalar
 from bytequarry.operators import matching, profiles
 from bytequarry.plans.chunk_queries import CHUNK, _chunk_cte
+from bytequarry.plans.chunk_queries import chunks as document_chunks
 from bytequarry.sources import chunks as source
 
 
@@ -15,71 +16,76 @@ def items(spark, sf_dir):
     return source.from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text", CHUNK)
 
 
+def documents(spark, sf_dir):
+    """The chunks of documents, dealt out evenly."""
+    return source.spread(document_chunks(spark, sf_dir))
+
+
 def _ids(df, *more):
     return df.select(F.col("key").alias("item_id"), "chunk", *more)
 
 
-def lz_tokens(spark, sf_dir):
-    return _ids(matching.tokens(items(spark, sf_dir)), "tok_no", "at", "len", "dist")
+def lz_tokens(spark, sf_dir, read=items):
+    return _ids(matching.tokens(read(spark, sf_dir)), "tok_no", "at", "len", "dist")
 
 
-def token_totals(spark, sf_dir):
+def token_totals(spark, sf_dir, read=items):
     """Tokens must cover each chunk exactly."""
-    found = matching.tokens(items(spark, sf_dir)).groupBy(F.col("key").alias("item_id"), "chunk")
+    found = matching.tokens(read(spark, sf_dir)).groupBy(F.col("key").alias("item_id"), "chunk")
     return found.agg(F.sum("len").alias("covered"), F.max(F.col("dist") - F.col("at")).alias("reach")).select("item_id", "chunk", "covered", (F.col("reach") <= 0).alias("in_chunk"))
 
 
-def literal_count(spark, sf_dir):
-    return _ids(matching.literal_counts(items(spark, sf_dir)), "raw_len", "tokens", "literals")
+def literal_count(spark, sf_dir, read=items):
+    return _ids(matching.literal_counts(read(spark, sf_dir)), "raw_len", "tokens", "literals")
 
 
-def kernel_round_trip(spark, sf_dir):
-    chunks = items(spark, sf_dir)
+def kernel_round_trip(spark, sf_dir, read=items):
+    chunks = read(spark, sf_dir)
     back = matching.unpacked(matching.packed(chunks, verify=False))
     return _ids(back, "raw_len", F.sha2("raw", 256).alias("raw_sha256"))
 
 
-def kernel_sizes(spark, sf_dir):
-    return _ids(matching.packed(items(spark, sf_dir)), "raw_len", "mode", F.octet_length("payload").alias("size"))
+def kernel_sizes(spark, sf_dir, read=items):
+    return _ids(matching.packed(read(spark, sf_dir)), "raw_len", "mode", F.octet_length("payload").alias("size"))
 
 
-def adaptive_kernel_sizes(spark, sf_dir):
+def adaptive_kernel_sizes(spark, sf_dir, read=items):
     """Packed with the distance penalty that each chunk's text share asks for."""
-    chunks = items(spark, sf_dir)
+    chunks = read(spark, sf_dir)
     shares = profiles.profile(chunks, "printable").select("key", "chunk", "printable")
     given = chunks.join(shares, ["key", "chunk"])
     return _ids(matching.packed_with_penalty(given, profiles.distance_penalty(9)), "raw_len", "mode", F.octet_length("payload").alias("size"))
 
 
-def match_candidates_4gram(spark, sf_dir):
-    return _ids(matching.match_candidates(items(spark, sf_dir), depth=4), "pos", "dist", "rank")
+def match_candidates_4gram(spark, sf_dir, read=items):
+    return _ids(matching.match_candidates(read(spark, sf_dir), depth=4), "pos", "dist", "rank")
 
 
-def top2_candidates(spark, sf_dir):
+def top2_candidates(spark, sf_dir, read=items):
     """The two candidates whose distance saves most: lattice bonus less the cost of the distance."""
-    found = matching.match_candidates(items(spark, sf_dir), depth=8)
+    found = matching.match_candidates(read(spark, sf_dir), depth=8)
     score = F.round(scalar.lattice_bonus(8, F.col("dist")) - 1.2 * F.log2(F.col("dist") + 1.0), 6)
     top = matching.top_candidates(found.withColumn("score", score), F.col("score"), 2)
     return _ids(top, "pos", "dist", "score", "place")
 
 
-def longest_match(spark, sf_dir):
-    return _ids(matching.longest_matches(items(spark, sf_dir)), "pos", "len", "dist")
+def longest_match(spark, sf_dir, read=items):
+    return _ids(matching.longest_matches(read(spark, sf_dir)), "pos", "len", "dist")
 
 
-def prefix_cost(spark, sf_dir):
-    return _ids(matching.prefix_costs(items(spark, sf_dir), 6.5, 0.0), "pos", F.round("cost", 4).alias("cost"))
+def prefix_cost(spark, sf_dir, read=items):
+    return _ids(matching.prefix_costs(read(spark, sf_dir), 6.5, 0.0), "pos", F.round("cost", 4).alias("cost"))
 
 
-def predicted_prefix_cost(spark, sf_dir):
-    costs = matching.prefix_costs(items(spark, sf_dir), 6.5, 0.5)
+def predicted_prefix_cost(spark, sf_dir, read=items):
+    costs = matching.prefix_costs(read(spark, sf_dir), 6.5, 0.5)
     return costs.groupBy(F.col("key").alias("item_id"), "chunk").agg(F.max("cost").alias("cost"))
 
 
-def parse_variants(spark, sf_dir):
+def parse_variants(spark, sf_dir, read=items):
     """Total size by match search: depths and hash sizes of the fast variants."""
     variants = {"deep": lz.ParseOptions(), "fast": lz.ParseOptions(depth=8, lazy_depth=4), "single": lz.ParseOptions(depth=1, lazy_depth=1), "wide": lz.ParseOptions(hash_bits=22), "lattice": lz.ParseOptions(lattice=8), "recent": lz.ParseOptions(lattice=3), "predicted": lz.ParseOptions(predicted=0.5)}
-    chunks = items(spark, sf_dir)
+    chunks = read(spark, sf_dir)
     out = None
     for name, options in variants.items():
         one = matching.packed(chunks, options, verify=False).agg(F.sum("raw_len").alias("raw"), F.sum(F.octet_length("payload")).alias("size")).withColumn("variant", F.lit(name))
@@ -87,6 +93,13 @@ def parse_variants(spark, sf_dir):
     return out
 
 
+def _over_documents(query):
+    def run(spark, sf_dir):
+        return query(spark, sf_dir, documents).withColumnRenamed("item_id", "doc_id")
+
+    return run
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +107,7 @@ QUERIES = {
         prefix_cost, predicted_prefix_cost, parse_variants,
     )
 }
+QUERIES |= {f"documents_{name}": _over_documents(query) for name, query in QUERIES.items()}
 _CTE = _chunk_cte(CHUNK, "benchmark", "item_id")
 _BY = "PARTITION BY item_id, chunk ORDER BY pos"
 _GRAMS = f"""WITH {_CTE}, g4 AS (SELECT item_id, chunk, n, pos, v + 256 * lead(v, 1) OVER ({_BY}) + 65536 * lead(v, 2) OVER ({_BY}) + CAST(16777216 AS BIGINT) * lead(v, 3) OVER ({_BY}) AS gram FROM b),
