@@ -53,6 +53,8 @@ RECORD = T.StructType(
 )
 
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select"}
+_NESTED = {"svg", "template"}
+_NEVER_EMPTY = {"script", "style", "iframe", "textarea"}  # a slash before the > does not close these
 _BREAKS = set(
     "address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
@@ -149,7 +151,7 @@ def extract(markup: str, base: str = "") -> tuple[str, str, str, list[str]]:
         name = (tag[3] or "").lower()
         end = _tag_end(markup, tag.end())
         attributes = markup[tag.end() : end]
-        if not tag[2] and name in _RAW:
+        if not tag[2] and name in _RAW and (name in _NEVER_EMPTY or not _closes_itself(attributes)):
             at = _raw_end(markup, end, name)
         else:
             at = end
@@ -178,9 +180,29 @@ def _tag_end(markup: str, at: int) -> int:
     return end + 1
 
 
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag, from behind its name, ends in /> and the slash is not part of an unquoted value."""
+    if not attributes.endswith("/>"):
+        return False
+    last = attributes[:-2].split()[-1:] if not attributes[:-2][-1:].isspace() else []
+    return not last or "=" not in last[0] or last[0][-1] in "\"'"
+
+
 def _raw_end(markup: str, at: int, name: str) -> int:
-    close = re.compile(f"</{name}[^>]*>", re.I).search(markup, at)
-    return close.end() if close else len(markup)
+    if name not in _NESTED:
+        close = re.compile(f"</{name}[^>]*>", re.I).search(markup, at)
+        return close.end() if close else len(markup)
+    tags, depth = re.compile(rf"<(/?){name}(?=[\s/>])", re.I), 1
+    while depth:
+        tag = tags.search(markup, at)
+        if not tag:
+            return len(markup)
+        at = _tag_end(markup, tag.end())
+        if tag[1]:
+            depth -= 1
+        elif not _closes_itself(markup[tag.end() : at]):
+            depth += 1
+    return at
 
 
 def _resolved(base: str, link: str) -> str:

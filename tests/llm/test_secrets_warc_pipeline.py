@@ -115,6 +115,17 @@ def test_extract_odd_markup(markup, text):
     assert warc.extract(markup)[0] == text
 
 
+@pytest.mark.parametrize(
+    "markup,text",
+    [
+        ("a<svg/>b", "ab"), ("a<template />b<select id='x'/>c", "abc"), ('a<svg viewBox="0 0"/>b<svg>c</svg>d', "abd"), ("a<svg><svg>b</svg>c</svg>d", "ad"),
+        ("a<svg><svg/>b</svg>c", "ac"), ("a<template><p>b<template>c</template>d</template>e", "ae"), ("a<script/>b</script>c", "ac"), ("a<svg x=y/>b</svg>c", "ac"), ("a<svg>" * 20000, "a"),
+    ],
+)
+def test_extract_closed_and_nested_elements(markup, text):
+    assert warc.extract(markup)[0] == text
+
+
 def test_responses_and_codings():
     import gzip
 
