@@ -1,497 +1,239 @@
-"""Chunk kernel: match parsing and adaptive range coding of one buffer, in plain Python.
+"""Chunk kernel: a chunk as matches and literals, each kind of number coded as a whole array.
 
-Tokens are (length, distance); distance 0 stands for one literal. Literals are coded as residuals of a predictor by the
-cheapest of three model families; matches by length and by distance with a cache of recent distances. Encoder and decoder
-are one walk over the same models: the port either writes a symbol or reads it. Meant for chunks of some KB to some
-hundred KB; all state is per chunk, so chunks are independent.
+A packed chunk holds, in this order: how many bytes are literals before each match, the matches' lengths, where their
+distances stand among the recent ones, the distances that are new, and the literals. What an array's models know of
+arrays before it is a choice of PackOptions, written into the head. Literals are bytes, or residuals of a mean of
+earlier bytes; mean and contexts are those that cost the chunk least. All state is per chunk.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-from dataclasses import dataclass, field
+import struct
+from dataclasses import dataclass
 
-from bytequarry.functions.scalar import FACTOR, LATTICE
-from bytequarry.functions.transforms import NEIGHBOURS
+import numpy as np
+
+from bytequarry.functions import lanes
+from bytequarry.functions.matches import EXTENDED, LONGEST, SHORTEST, Parse, ParseOptions, literal_bits, parsed  # noqa: F401
+from bytequarry.functions.profile import top_lags
+from bytequarry.functions.transforms import LAGS, NEIGHBOURS, residuals
 
 
 class CorruptChunk(ValueError):
     """A packed chunk that cannot be decoded to the promised length."""
 
 
-# --- parsing -----------------------------------------------------------------------------------------
+def parse(data: bytes, options: ParseOptions = ParseOptions()) -> list[tuple[int, int]]:
+    """Tokens (length, distance) that cover data from left to right; distance 0 stands for one literal."""
+    return parsed(data, options).tokens()
 
 
 @dataclass(frozen=True)
-class ParseOptions:
-    """Costs in bits, and limits of the match search."""
-
-    literal: float = 6.48
-    match: float = 9.42
-    distance: float = 1.88
-    depth: int = 42
-    lazy_depth: int = 19
-    lazy_below: int = 96
-    hash_bits: int = 20
-    window: int = 1 << 22
-    #: (candidates looked at, length): long enough to stop there.
-    enough: tuple[tuple[int, int], ...] = ((7, 128), (15, 64), (31, 32))
-    #: What distances save: a mode of scalar.lattice_bonus; 0 for nothing.
-    lattice: int = 0
-    #: Share of a literal's cost that an adaptive model of residuals predicts, see prefix_costs().
-    predicted: float = 0.0
-
-
-SHORTEST, LONGEST, EXTENDED = 4, 255, 65535
-
-
-def common_length(data: bytes, a: int, b: int, start: int, most: int) -> int:
-    """How many bytes from a and from b agree, `start` of them known."""
-    n = start
-    while n < most:
-        step = min(64, most - n)
-        if data[a + n : a + n + step] == data[b + n : b + n + step]:
-            n += step
-            continue
-        while data[a + n] == data[b + n]:
-            n += 1
-        break
-    return n
-
-
-class MatchFinder:
-    """Earlier places by the hash of their four bytes, most recent last."""
-
-    def __init__(self, data: bytes, options: ParseOptions):
-        self.data, self.options = data, options
-        self.slots: dict[int, list[int]] = defaultdict(list)
-        self.mask = (1 << options.hash_bits) - 1
-
-    def slot(self, at: int) -> int:
-        return int.from_bytes(self.data[at : at + 4], "little") * FACTOR & self.mask
-
-    def add(self, start: int, stop: int) -> None:
-        for at in range(start, min(stop, len(self.data) - SHORTEST + 1)):
-            self.slots[self.slot(at)].append(at)
-
-    def longest(self, at: int, depth: int) -> tuple[int, int]:
-        """(length, distance) of the longest match; of equal ones the nearest. Every place of the slot uses up depth."""
-        data, room = self.data, len(self.data) - at
-        if room < SHORTEST:
-            return 0, 0
-        key, most, best, far = data[at : at + 4], min(LONGEST, room), 0, 0
-        for seen, place in enumerate(reversed(self.slots.get(self.slot(at), [])[-depth:])):
-            if at - place > self.options.window or data[place : place + 4] != key:
-                continue
-            if best >= most or (best >= 8 and data[place + best] != data[at + best]):
-                continue
-            length = common_length(data, place, at, 4, most)
-            if length > best:
-                best, far = length, at - place
-            if best == most or any(seen >= count and best >= size for count, size in self.options.enough):
-                break
-        if best == LONGEST:
-            best = common_length(data, at - far, at, best, min(EXTENDED, room))
-        return best, far
-
-
-def saved_bits(mode: int, distance: int, last: int = 0, older: int = 0) -> float:
-    """scalar.lattice_bonus of plain numbers."""
-    line, plane, planes, lines = LATTICE.get(mode, (0.0, 0.0, 0.0, 0.0))
-    saved = line if distance in (15, 16, 17) else 0.0
-    saved += plane if distance in (255, 256, 257) else planes if distance % 256 == 0 else lines if distance % 16 == 0 else 0.0
-    apart = abs(distance - last)
-    if mode == 1 and last:
-        slack = max(2, last >> 5)
-        harmonic = min(abs(distance - 2 * last), abs(2 * distance - last)) <= 2 * slack
-        saved += 0.0 if apart else 1.05
-        saved += (0.38 * (apart <= slack) + 0.20 * harmonic) if apart else 0.0
-    if mode == 3:
-        saved += 0.0 if not last else 0.70 if not apart else 0.24 if apart <= max(2, last >> 6) else 0.0
-        saved += 0.18 if older and distance == older else 0.0
-    return saved
-
-
-def match_bits(length: int, distance: int, options: ParseOptions, last: int = 0, older: int = 0) -> float:
-    plain = options.match + (1.0 if length <= 7 else math.log2(length + 1)) + options.distance * math.log2(distance + 1)
-    return plain - saved_bits(options.lattice, distance, last, older) if options.lattice else plain
+class PackOptions:
+    """How a parse is coded."""
 
+    #: What else is known of a length (1: the distance before) and of a distance (2: its match's length); 3 for both.
+    couple: int = 0
+    #: Means that literals may be coded against: "none", "neighbours", "lags" (the chunk's three best), or (distance, weight) pairs.
+    means: tuple = ("none", "neighbours", "lags")
+    #: Contexts that literals may be coded in, by name; see LITERAL_CONTEXTS.
+    contexts: tuple[str, ...] = ("one", "before", "signs", "column", "row", "cell")
 
-def parse(data: bytes, options: ParseOptions = ParseOptions()) -> list[tuple[int, int]]:
-    """Tokens that cover data from left to right."""
-    finder, tokens, at, last, older = MatchFinder(data, options), [], 0, 0, 0
-    costs = prefix_costs(data, options.literal, options.predicted) if options.predicted else None
-
-    def gain_of(start: int, length: int, distance: int) -> float:
-        if length < SHORTEST:
-            return 0.0
-        literals = costs[start + length] - costs[start] if costs else options.literal * length
-        return literals - match_bits(length, distance, options, last, older)
-
-    while at < len(data):
-        length, distance = finder.longest(at, options.depth)
-        gain = gain_of(at, length, distance)
-        if gain > 0 and length < options.lazy_below and at + 1 < len(data):
-            later, later_distance = finder.longest(at + 1, options.lazy_depth)
-            # worth a literal first if it saves clearly more
-            if later >= length + 2 and gain_of(at + 1, later, later_distance) - 0.20 > gain + 0.75:
-                gain = 0.0
-        token = (length, distance) if gain > 0 else (1, 0)
-        if token[1]:
-            last, older = distance, last
-        finder.add(at, at + token[0])
-        tokens.append(token)
-        at += token[0]
-    return tokens
-
-
-# --- range coder -------------------------------------------------------------------------------------
-
-_TOP, _BOTTOM, _MASK = 1 << 24, 1 << 16, (1 << 32) - 1
-
-
-class Writer:
-    """Range coder without carries: when the top byte cannot settle, the range is cut so that it does."""
-
-    decoding = False
-
-    def __init__(self):
-        self.low, self.range, self.out = 0, _MASK, bytearray()
-
-    def code(self, model: Frequencies, symbol: int | None) -> int:
-        below, own, total = model.interval(symbol)
-        unit = self.range // total
-        self.low, self.range = (self.low + unit * below) & _MASK, unit * own
-        while True:
-            if (self.low ^ (self.low + self.range)) >= _TOP:
-                if self.range >= _BOTTOM:
-                    return symbol
-                self.range = -self.low & (_BOTTOM - 1)
-            self.out.append(self.low >> 24)
-            self.low, self.range = self.low << 8 & _MASK, self.range << 8 & _MASK
-
-    def finish(self) -> bytes:
-        return bytes(self.out) + self.low.to_bytes(4, "big")
-
-
-class Reader:
-    decoding = True
-
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 4
-        self.low, self.range, self.value = 0, _MASK, int.from_bytes(data[:4].ljust(4, b"\0"), "big")
-
-    def code(self, model: Frequencies, symbol: int | None = None) -> int:
-        unit = self.range // model.total
-        symbol = model.find(min(model.total - 1, ((self.value - self.low) & _MASK) // unit))
-        below, own, _ = model.interval(symbol)
-        self.low, self.range = (self.low + unit * below) & _MASK, unit * own
-        while True:
-            if (self.low ^ (self.low + self.range)) >= _TOP:
-                if self.range >= _BOTTOM:
-                    return symbol
-                self.range = -self.low & (_BOTTOM - 1)
-            self.value = (self.value << 8 | (self.data[self.at] if self.at < len(self.data) else 0)) & _MASK
-            self.at += 1
-            self.low, self.range = self.low << 8 & _MASK, self.range << 8 & _MASK
-
-
-class Frequencies:
-    """Adaptive counts of n symbols; sums of 16 symbols make both directions quick."""
-
-    def __init__(self, n: int, limit: int = 1 << 15):
-        self.counts, self.limit = [1] * n, limit
-        self._sum()
-
-    def _sum(self) -> None:
-        self.groups = [sum(self.counts[i : i + 16]) for i in range(0, len(self.counts), 16)]
-        self.total = sum(self.groups)
-
-    def interval(self, symbol: int) -> tuple[int, int, int]:
-        group = symbol >> 4
-        return sum(self.groups[:group]) + sum(self.counts[group << 4 : symbol]), self.counts[symbol], self.total
-
-    def find(self, target: int) -> int:
-        group = 0
-        while target >= self.groups[group]:
-            target -= self.groups[group]
-            group += 1
-        symbol = group << 4
-        while target >= self.counts[symbol]:
-            target -= self.counts[symbol]
-            symbol += 1
-        return symbol
-
-    def learn(self, symbol: int) -> None:
-        self.counts[symbol] += 1
-        self.groups[symbol >> 4] += 1
-        self.total += 1
-        if self.total > self.limit:
-            self.counts = [(c + 1) >> 1 for c in self.counts]
-            self._sum()
-
-    def bits(self, symbol: int) -> float:
-        return math.log2(self.total / self.counts[symbol])
-
-
-# --- literal models ----------------------------------------------------------------------------------
-
-SAMPLE_EVERY, RAW_ERROR, RAW_AFTER = 32, 48.0, 128
-
-
-def _byte(x: int) -> int:
-    return 0 if x < 0 else 255 if x > 255 else x
-
-
-@dataclass
-class Predictor:
-    """Weighted neighbours, corrected by gradients along the three distances that did best lately."""
-
-    distances: tuple[int, ...] = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
-    errors: list[float] = field(default_factory=lambda: [32.0] * 10)
-    axes: tuple[int, ...] = (3, 7, 5)
-    anchor_error: float = 32.0
-    bank_error: float = 32.0
-
-    @staticmethod
-    def anchor(data, at: int) -> int:
-        total = weight = 0
-        for distance, w in NEIGHBOURS:
-            if at >= distance:
-                total += w * data[at - distance]
-                weight += w
-        return (total + weight // 2) // weight if weight else 0
-
-    def along(self, data, at: int, axis: int) -> int | None:
-        d = self.distances[axis]
-        return _byte(data[at - 1] + data[at - d] - data[at - d - 1]) if at > d else None
-
-    def bank(self, data, at: int) -> float:
-        total = weight = 0.0
-        for axis in self.axes:
-            found = self.along(data, at, axis)
-            if found is not None:
-                w = 1.0 / (1.0 + self.errors[axis])
-                total, weight = total + w * found, weight + w
-        return total / weight if weight else float(self.anchor(data, at))
-
-    def blend(self) -> float:
-        """How far to go from the anchor to the bank: not at all before the bank is clearly better, 30 % at most."""
-        lead = self.anchor_error - self.bank_error
-        return min(0.30, max(0.0, (lead / (self.anchor_error + 1.0) - 0.02) * 0.55)) if lead > 1.5 else 0.0
-
-    def is_hopeless(self, at: int) -> bool:
-        return at > RAW_AFTER and self.anchor_error > RAW_ERROR
-
-    def predict(self, data, at: int) -> int:
-        if not at:
-            return 0
-        anchor, share = self.anchor(data, at), self.blend()
-        return _byte(math.floor(anchor + share * (self.bank(data, at) - anchor) + 0.5)) if share else anchor
-
-    def observe(self, data, at: int) -> None:
-        if not at:
-            return
-        actual = data[at]
-        self.bank_error += 0.08 * (abs(actual - self.bank(data, at)) - self.bank_error)
-        self.anchor_error += 0.08 * (abs(actual - self.anchor(data, at)) - self.anchor_error)
-        for axis in range(len(self.distances)):
-            found = self.along(data, at, axis)
-            if found is not None:
-                self.errors[axis] += 0.12 * (abs(actual - found) - self.errors[axis])
-        if at % 256 == 0:
-            self.axes = tuple(sorted(range(len(self.errors)), key=lambda k: (self.errors[k], k))[:3])
-
-
-@dataclass
-class SignField:
-    """Expected sign of the next residual from those 1, 2, 4 and 8 literals ago."""
-
-    lags: tuple[int, ...] = (1, 2, 4, 8)
-    errors: list[float] = field(default_factory=lambda: [0.5] * 4)
-    seen: list[int] = field(default_factory=list)
-    count: int = 0
-    positive: bool = True
-    strength: float = 0.0
-
-    def is_sure(self) -> bool:
-        return self.strength > 0.15
-
-    def observe(self, residual: int) -> None:
-        value = residual if residual < 128 else residual - 256
-        past = [self.seen[-lag] if len(self.seen) >= lag else None for lag in self.lags]
-        if self.count % 32 == 0:
-            for k, before in enumerate(past):
-                if before is not None:
-                    self.errors[k] += 0.025 * (abs(value - before) / 255.0 - self.errors[k])
-        self.seen = [*self.seen[-7:], value]
-        self.count += 1
-        if self.count % 64 == 0:
-            total = weight = 0.0
-            for lag, error in zip(self.lags, self.errors):
-                if len(self.seen) >= lag:
-                    w, x = 1.0 / (0.05 + error), self.seen[-lag]
-                    total, weight = total + w * x / (8.0 + abs(x)), weight + w
-            lean = total / weight if weight else 0.0
-            self.positive, self.strength = lean >= 0.0, abs(lean)
-
-
-class LiteralModels:
-    """Codes residuals by the family whose running cost is least: one model, one for each of 8 contexts, or one for
-    each of 16 contexts that also know the expected sign."""
-
-    WARM, MARGIN, RATE = 64, 0.03, 0.02
-
-    def __init__(self):
-        make = lambda n: [Frequencies(256, (1 << 16) - 1) for _ in range(n)]
-        self.plain, self.raw = make(1)[0], make(1)[0]
-        self.by_context, self.by_sign = make(8), make(16)
-        self.cost = {"plain": [8.0] * 8, "context": [8.0] * 8, "sign": [8.0] * 16}
-        self.used = {"context": [0] * 8, "sign": [0] * 16}
-
-    def code(self, port, residual: int | None, context: int, sign: int | None) -> int:
-        """sign: the context with the expected sign, or None when that is not sure."""
-        families = [("plain", context, self.plain), ("context", context, self.by_context[context])]
-        if sign is not None:
-            families.append(("sign", sign, self.by_sign[sign]))
-        best, chosen = self.cost["plain"][context], self.plain
-        for (name, at, model), margin in zip(families[1:], (0.0, self.MARGIN)):
-            if self.used[name][at] >= self.WARM and self.cost[name][at] + margin < best:
-                best, chosen = self.cost[name][at], model
-        residual = port.code(chosen, residual)
-        for name, at, model in families:
-            if name != "sign" or self.used["sign"][at] % 2 == 0:
-                self.cost[name][at] += self.RATE * (model.bits(residual) - self.cost[name][at])
-            model.learn(residual)
-        self.used["context"][context] += 1
-        if sign is not None:
-            self.used["sign"][sign] += 1
-        return residual
-
-
-class RecentDistances:
-    """The last eight distances, most recent first."""
-
-    def __init__(self, size: int = 8):
-        self.kept: list[int] = [0] * size
-
-    def place(self, distance: int) -> int:
-        """Where a distance stands; the size if it is new."""
-        return self.kept.index(distance) if distance in self.kept else len(self.kept)
-
-    def use(self, distance: int) -> None:
-        if distance in self.kept:
-            self.kept.remove(distance)
-        else:
-            self.kept.pop()
-        self.kept.insert(0, distance)
-
-
-# --- walk --------------------------------------------------------------------------------------------
-
-_ESCAPE = 248
-
-
-class _Walk:
-    """The models of one chunk and the order in which symbols pass through a port."""
-
-    def __init__(self, port):
-        self.port = port
-        self.kind = [Frequencies(2) for _ in range(4)]
-        self.history = 0
-        self.is_long, self.was_long = [Frequencies(2) for _ in range(2)], 0
-        self.short, self.long = Frequencies(4), Frequencies(_ESCAPE + 1)
-        self.extra = [Frequencies(256, (1 << 16) - 1) for _ in range(2)]
-        self.slot, self.was_new = [Frequencies(9) for _ in range(2)], 0
-        self.width, self.last_width = [Frequencies(3) for _ in range(3)], 0
-        self.digits = {(w, k): Frequencies(256, (1 << 16) - 1) for w in range(1, 4) for k in range(w)}
-        self.recent, self.literals, self.predictor, self.field = RecentDistances(), LiteralModels(), Predictor(), SignField()
-
-    def _pass(self, model: Frequencies, symbol: int | None) -> int:
-        symbol = self.port.code(model, symbol)
-        model.learn(symbol)
-        return symbol
-
-    def is_match(self, value: int | None) -> int:
-        value = self._pass(self.kind[self.history], value)
-        self.history = (self.history << 1 | value) & 3
-        return value
-
-    def literal(self, data, at: int, value: int | None) -> int:
-        guess = self.predictor.predict(data, at)
-        residual = None if value is None else (value - guess) & 255
-        context = (guess >> 6) << 1 | int(at > 0 and guess >= data[at - 1])
-        if self.predictor.is_hopeless(at):
-            value = self._pass(self.literals.raw, value)
-            residual = (value - guess) & 255
-        else:
-            sign = context | int(self.field.positive) << 3 if self.field.is_sure() else None
-            residual = self.literals.code(self.port, residual, context, sign)
-        self.field.observe(residual)
-        return (guess + residual) & 255
-
-    def length(self, n: int | None) -> int:
-        long = self._pass(self.is_long[self.was_long], None if n is None else int(n > 7))
-        self.was_long = long
-        if not long:
-            return self._pass(self.short, None if n is None else n - SHORTEST) + SHORTEST
-        code = self._pass(self.long, None if n is None else n - 8 if n <= LONGEST else _ESCAPE)
-        if code < _ESCAPE:
-            return code + 8
-        parts = [None, None] if n is None else divmod(n - 256, 256)
-        high, low = (self._pass(m, x) for m, x in zip(self.extra, parts))
-        return 256 + (high << 8 | low)
-
-    def distance(self, d: int | None) -> int:
-        place = self._pass(self.slot[self.was_new], None if d is None else self.recent.place(d))
-        self.was_new = int(place == len(self.recent.kept))
-        if not self.was_new:
-            d = self.recent.kept[place]
+
+# --- recent distances --------------------------------------------------------------------------------
+
+RECENT = 8
+
+
+def to_places(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distance's place among the RECENT ones before it, latest first (RECENT: not there), and the new ones."""
+    recent, places, new = [0] * RECENT, [], []
+    for d in distances.tolist():
+        if d in recent:
+            places.append(recent.index(d))
+            recent.remove(d)
         else:
-            width = self._pass(self.width[self.last_width], None if d is None else max(1, (d.bit_length() + 7) // 8) - 1) + 1
-            self.last_width = width - 1
-            found = 0
-            for k in range(width):
-                found |= self._pass(self.digits[width, k], None if d is None else d >> 8 * k & 255) << 8 * k
-            d = found
-        self.recent.use(d)
-        return d
-
-    def observe(self, data, start: int, stop: int) -> None:
-        for at in range(-(-start // SAMPLE_EVERY) * SAMPLE_EVERY, stop, SAMPLE_EVERY):
-            self.predictor.observe(data, at)
-
-
-def encode(data: bytes, tokens: list[tuple[int, int]]) -> bytes:
-    walk, at = _Walk(Writer()), 0
-    for length, distance in tokens:
-        walk.is_match(int(distance > 0))
-        if distance:
-            walk.length(length)
-            walk.distance(distance)
+            places.append(RECENT)
+            new.append(d)
+            recent.pop()
+        recent.insert(0, d)
+    return np.array(places, np.int64), np.array(new, np.int64)
+
+
+def from_places(places: np.ndarray, new: np.ndarray) -> np.ndarray:
+    recent, out, fresh = [0] * RECENT, [], iter(new.tolist())
+    for place in places.tolist():
+        d = next(fresh) if place == RECENT else recent[place]
+        recent.pop(min(place, RECENT - 1))
+        recent.insert(0, d)
+        out.append(d)
+    return np.array(out, np.int64)
+
+
+# --- literals ----------------------------------------------------------------------------------------
+
+
+def _sign(x: np.ndarray) -> np.ndarray:
+    """0, 1, 2 for a residual of zero, above and below it."""
+    return np.where(x == 0, 0, np.where(x < 128, 1, 2))
+
+
+#: Name: number of contexts, and the context by the two symbols before or (True) by the literal's place.
+LITERAL_CONTEXTS = {
+    "one": (1, False, lambda one, two: one * 0),
+    "before": (32, False, lambda one, two: one & 31),
+    "signs": (9, False, lambda one, two: 3 * _sign(one) + _sign(two)),
+    "column": (16, True, lambda at: at & 15),
+    "row": (16, True, lambda at: at >> 4 & 15),
+    "cell": (16, True, lambda at: (at ^ at >> 4) & 15),
+}
+_NAMES = list(LITERAL_CONTEXTS)
+_MOST_BYTES = 4
+
+
+def _means(data: bytes, options: PackOptions) -> list[list[tuple[int, int]]]:
+    out = []
+    for mean in options.means:
+        if mean == "none":
+            out.append([])
+        elif mean == "neighbours":
+            out.append(NEIGHBOURS)
+        elif mean == "lags":
+            found = [lag for rate, lag in top_lags(data, [k for k in LAGS if k < len(data)], 3) if rate > 0]
+            out.append([(lag, 3 - i) for i, lag in enumerate(found)])
         else:
-            walk.literal(data, at, data[at])
-        walk.observe(data, at, at + length)
-        at += length
-    return walk.port.finish()
+            out.append([tuple(pair) for pair in mean])
+    return out
+
+
+def _least(data: bytes, places: np.ndarray, options: PackOptions) -> tuple[list[tuple[int, int]], str, np.ndarray]:
+    """The mean and the contexts that cost least, and the literals against that mean."""
+    best = None
+    for mean in _means(data, options):
+        whole = np.frombuffer(residuals(data, mean) if mean else data, np.uint8)
+        symbols = whole[places].astype(np.int64)
+        one, two = np.concatenate([[0], symbols[:-1]])[: len(symbols)], np.concatenate([[0, 0], symbols[:-2]])[: len(symbols)]
+        for name in options.contexts:
+            n, by_place, of = LITERAL_CONTEXTS[name]
+            cost = lanes.ideal_bits(symbols, of(places) if by_place else of(one, two), 256, n)
+            if best is None or cost < best[0]:
+                best = cost, mean, name, symbols
+    return best[1:]
+
+
+def _predicted(out: bytearray, at: int, mean: list[tuple[int, int]]) -> int:
+    total = weight = 0
+    for distance, w in mean:
+        if at >= distance:
+            total += w * out[at - distance]
+            weight += w
+    return (total + weight // 2) // weight if weight else 0
+
+
+# --- streams -----------------------------------------------------------------------------------------
+
+_HEAD = struct.Struct("<BBBII")  # coupling, contexts of literals, pairs of the mean, matches, literals
+_PAIR = struct.Struct("<HB")
+
+
+def _distance_class(places: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    return np.where(places < RECENT, 0, 1 + (distances >= 256) + (distances >= 65536))
+
+
+def _length_class(lengths: np.ndarray) -> np.ndarray:
+    return 0 + (lengths > 7) + (lengths > 31) + (lengths > 255)
+
+
+def _matches(port, couple: int, n: int, given) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of literals before the matches, lengths and distances. Lengths that know distances come after them."""
+    runs, lengths, distances = given or (None, None, None)
+    places, new = to_places(distances) if given else (None, None)
+
+    def code_lengths(known: np.ndarray | None) -> np.ndarray:
+        less = None if lengths is None else lengths - SHORTEST
+        return lanes.code_numbers(port, less, n, 4, known) + SHORTEST
+
+    def code_distances(known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        found = lanes.code(port, places, n, RECENT + 1, 16, lambda one, two: np.minimum(one, 3) * 4 + np.minimum(two, 3))
+        fresh = int((found == RECENT).sum())
+        far = lanes.code_numbers(port, new, fresh, 4, None if known is None else known[found == RECENT])
+        return found, from_places(found, far)
+
+    runs = lanes.code_numbers(port, runs, n)
+    if couple == 1:
+        found, distances = code_distances(None)
+        before = np.concatenate([[0], _distance_class(found, distances)[:-1]])[:n]
+        return runs, code_lengths(before), distances
+    if couple == 3:  # a length knows the place of its own distance, which knows the length
+        found = lanes.code(port, places, n, RECENT + 1, 16, lambda one, two: np.minimum(one, 3) * 4 + np.minimum(two, 3))
+        lengths = code_lengths(np.where(found < RECENT, 0, 1))
+        far = lanes.code_numbers(port, new, int((found == RECENT).sum()), 4, _length_class(lengths)[found == RECENT])
+        return runs, lengths, from_places(found, far)
+    lengths = code_lengths(None)
+    _, distances = code_distances(_length_class(lengths) if couple == 2 else None)
+    return runs, lengths, distances
+
+
+def _literals(port, name: str, places: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+    n, by_place, of = LITERAL_CONTEXTS[name]
+    return lanes.code(port, given, len(places), 256, n, of(places) if by_place else of)
+
+
+def _lanes(matches: int, literals: int) -> int:
+    return lanes.lanes_for(literals + 4 * matches)
+
+
+def _between(runs: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Places of the literals."""
+    covered = np.zeros(size + 1, np.int64)
+    starts = np.cumsum(runs + lengths) - lengths
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + lengths, -1)
+    return np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+
+
+def encode(data: bytes, found: Parse, options: PackOptions = PackOptions()) -> bytes:
+    ends = found.start + found.length
+    runs = found.start - np.concatenate([[0], ends[:-1]])[: len(ends)]
+    places = _between(runs, found.length, len(data))
+    mean, name, symbols = _least(data, places, options)
+    port = lanes.Writer(_lanes(len(runs), len(places)))
+    _matches(port, options.couple, len(runs), (runs, found.length, found.distance))
+    _literals(port, name, places, symbols)
+    head = _HEAD.pack(options.couple, _NAMES.index(name), len(mean), len(runs), len(places))
+    return head + b"".join(_PAIR.pack(*pair) for pair in mean) + port.finish()
 
 
 def decode(packed: bytes, size: int) -> bytes:
     """Raises CorruptChunk for what cannot be the encoding of `size` bytes."""
-    walk, out = _Walk(Reader(packed)), bytearray()
-    while len(out) < size:
-        at = len(out)
-        if walk.port.at > len(packed) + 8:
-            raise CorruptChunk("the data end before the chunk does")
-        if not walk.is_match(None):
-            out.append(walk.literal(out, at, None))
+    try:
+        return _decode(packed, size)
+    except (struct.error, IndexError, lanes.CorruptStream, StopIteration, OverflowError) as e:
+        raise CorruptChunk(f"the data cannot be decoded: {e}") from e
+
+
+def _decode(packed: bytes, size: int) -> bytes:
+    couple, contexts, pairs, matches, literals = _HEAD.unpack_from(packed)
+    if couple > 3 or contexts >= len(_NAMES) or pairs > 8 or literals > size or matches * SHORTEST > size:
+        raise CorruptChunk("the head does not fit the chunk")
+    mean = [_PAIR.unpack_from(packed, _HEAD.size + i * _PAIR.size) for i in range(pairs)]
+    port = lanes.Reader(packed[_HEAD.size + pairs * _PAIR.size :], _lanes(matches, literals))
+    runs, lengths, distances = _matches(port, couple, matches, None)
+    starts = np.cumsum(runs + lengths) - lengths
+    if int(lengths.sum()) + literals != size or int(runs.sum()) > literals or (distances < 1).any() or (distances > starts).any():
+        raise CorruptChunk("the matches do not fit the chunk")
+    symbols = _literals(port, _NAMES[contexts], _between(runs, lengths, size), None).astype(np.uint8).tobytes()
+    port.finish()
+    out, at = bytearray(), 0
+    for run, length, distance in zip([*runs.tolist(), literals], [*lengths.tolist(), 0], [*distances.tolist(), 0]):
+        if mean:
+            for residual in symbols[at : at + run]:
+                out.append((residual + _predicted(out, len(out), mean)) & 255)
         else:
-            length, distance = walk.length(None), walk.distance(None)
-            if not 0 < distance <= at or at + length > size:
-                raise CorruptChunk(f"match of {length} at distance {distance} does not fit at {at}")
+            out += symbols[at : at + run]
+        at += run
+        if length:
             copy_match(out, distance, length)
-        walk.observe(out, at, len(out))
     return bytes(out)
 
 
@@ -502,23 +244,28 @@ def copy_match(out: bytearray, distance: int, length: int) -> None:
     out += source * whole + source[:rest]
 
 
+# --- chunks ------------------------------------------------------------------------------------------
+
 RAW, PACKED = 0, 1
 
 
-def pack(data: bytes, options: ParseOptions = ParseOptions(), verify: bool = True, compete_from: float | None = None) -> tuple[int, bytes]:
+def pack(
+    data: bytes, options: ParseOptions = ParseOptions(), verify: bool = True, compete_from: float | None = None,
+    coding: PackOptions = PackOptions(),
+) -> tuple[int, bytes]:
     """(mode, payload): packed, or as it is if hardly anything matches or packing does not pay.
 
     With compete_from, chunks of which at least that share are literals are also coded as literals alone, and the
     smaller result is kept; such chunks are not given up beforehand.
     """
-    tokens = parse(data, options)
-    literals = sum(1 for _, d in tokens if not d)
-    competes = compete_from is not None and literals >= compete_from * len(data)
-    if literals > len(data) * 9 // 10 and not competes:
+    found = parsed(data, options)
+    competes = compete_from is not None and found.literals >= compete_from * len(data)
+    if found.literals > len(data) * 9 // 10 and not competes:
         return RAW, data
-    payload = encode(data, tokens)
+    payload = encode(data, found, coding)
     if competes:
-        payload = min(payload, encode(data, [(1, 0)] * len(data)), key=len)
+        none = np.zeros(0, np.int64)
+        payload = min(payload, encode(data, Parse(len(data), none, none, none), coding), key=len)
     if verify and decode(payload, len(data)) != data:
         raise CorruptChunk("a packed chunk does not decode to its bytes")
     return (PACKED, payload) if len(payload) < len(data) else (RAW, data)
@@ -533,18 +280,6 @@ def unpack(mode: int, payload: bytes, size: int) -> bytes:
     return out
 
 
-def prefix_costs(data: bytes, literal: float = 6.48, weight: float = 0.5) -> list[float]:
-    """Cost in bits of coding the first i bytes as literals: a blend of a fixed cost and that of an adaptive model of
-    residuals, between 1.5 and 10 bits a byte. weight 0 is the fixed cost alone."""
-    out, predictor, model = [0.0], Predictor(), Frequencies(256, (1 << 16) - 1)
-    for at, value in enumerate(data):
-        cost = literal
-        if weight:
-            residual = (value - predictor.predict(data, at)) & 255
-            own = 8.0 if predictor.is_hopeless(at) else model.bits(residual)
-            cost = max(1.5, min(10.0, (1 - weight) * literal + weight * own))
-            model.learn(residual)
-            if at % SAMPLE_EVERY == 0:
-                predictor.observe(data, at)
-        out.append(out[-1] + cost)
-    return out
+def prefix_costs(data: bytes, literal: float = 6.48, predicted: float | str = 0.5, stride: int = 1) -> np.ndarray:
+    """Cost in bits of coding the first i bytes as literals; see matches.literal_bits."""
+    return np.concatenate([[0.0], np.cumsum(literal_bits(data, literal, predicted, stride))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,30 +91,55 @@ LATTICE = {
 }
 
 
-def lattice_bonus(mode: int, dist: Column, last: Column | None = None, before_last: Column | None = None) -> Column:
-    """Bits that a distance saves. Modes 1 and 3 also look at the distances before it (0 or null: none)."""
-    zero = F.lit(0.0)
-    last = F.coalesce(last if last is not None else F.lit(0), F.lit(0))
-    before_last = F.coalesce(before_last if before_last is not None else F.lit(0), F.lit(0))
-    bonus = zero
+#: Modes that also look at the distances before.
+RECENT_MODES = (1, 3)
+
+
+class _Columns:
+    """What lattice rules need of columns."""
+
+    choose = staticmethod(lambda rule, yes, no: F.when(rule, F.lit(yes) if isinstance(yes, float) else yes).otherwise(F.lit(no) if isinstance(no, float) else no))
+    apart, larger, shift = staticmethod(F.abs), staticmethod(lambda low, x: F.greatest(F.lit(low), x)), staticmethod(F.shiftright)
+
+
+class _Arrays:
+    """The same of NumPy arrays."""
+
+    choose, apart, larger = staticmethod(np.where), staticmethod(np.abs), staticmethod(np.maximum)
+    shift = staticmethod(np.right_shift)
+
+
+def _lattice(on, mode: int, dist, last, older):
+    around = lambda x: (dist == x - 1) | (dist == x) | (dist == x + 1)
+    bonus = on.choose(dist == 0, 0.0, 0.0)
     if mode in LATTICE:
         line, plane, planes, lines = LATTICE[mode]
-        bonus = F.when(dist.isin(15, 16, 17), F.lit(line)).otherwise(zero) + F.when(dist.isin(255, 256, 257), F.lit(plane)).when(
-            dist % 256 == 0, F.lit(planes)
-        ).when(dist % 16 == 0, F.lit(lines)).otherwise(zero)
-    near = F.abs(dist - last)
-    if mode == 1:
-        slack = F.greatest(F.lit(2), F.shiftright(last, 5))
-        harmonic = (F.abs(dist - 2 * last) <= slack * 2) | (F.abs(2 * dist - last) <= slack * 2)
-        inexact = F.when(near <= slack, 0.38).otherwise(0.0) + F.when(harmonic, 0.20).otherwise(0.0)
-        bonus = F.when(last > 0, F.when(dist == last, F.lit(1.05)).otherwise(inexact)).otherwise(zero)
-    elif mode == 3:
-        slack = F.greatest(F.lit(2), F.shiftright(last, 6))
-        recent = F.when(last > 0, F.when(dist == last, 0.70).when(near <= slack, 0.24).otherwise(0.0)).otherwise(0.0)
-        bonus = bonus + recent + F.when((before_last > 0) & (dist == before_last), 0.18).otherwise(0.0)
+        far = on.choose(around(256), plane, on.choose(dist % 256 == 0, planes, on.choose(dist % 16 == 0, lines, 0.0)))
+        bonus = on.choose(around(16), line, 0.0) + far
+    if mode in RECENT_MODES:
+        slack = on.larger(2, on.shift(last, 5 if mode == 1 else 6))
+        near = on.apart(dist - last) <= slack
+        if mode == 1:
+            harmonic = (on.apart(dist - last * 2) <= slack * 2) | (on.apart(dist * 2 - last) <= slack * 2)
+            again = on.choose(dist == last, 1.05, on.choose(near, 0.38, 0.0) + on.choose(harmonic, 0.20, 0.0))
+        else:
+            again = on.choose(dist == last, 0.70, on.choose(near, 0.24, 0.0))
+            bonus = bonus + on.choose((older > 0) & (dist == older), 0.18, 0.0)
+        bonus = bonus + on.choose(last > 0, again, 0.0)
     return bonus
 
 
+def lattice_bonus(mode: int, dist: Column, last: Column | None = None, before_last: Column | None = None) -> Column:
+    """Bits that a distance saves. Modes 1 and 3 also look at the distances before it (0 or null: none)."""
+    known = lambda x: F.coalesce(x if x is not None else F.lit(0), F.lit(0))
+    return _lattice(_Columns, mode, dist, known(last), known(before_last))
+
+
+def lattice_bits(mode: int, dist: np.ndarray, last=0, before_last=0) -> np.ndarray:
+    """lattice_bonus of arrays."""
+    return _lattice(_Arrays, mode, dist, np.asarray(last), np.asarray(before_last))
+
+
 def lattice_code(mode: int, x: Column) -> tuple[Column, Column]:
     """(class, quotient) of a distance: anchors (mode 1), quotients (2) or both (3)."""
     anchors = F.lit(None).cast("int")

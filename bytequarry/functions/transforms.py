@@ -133,11 +133,11 @@ def undo_nibbles(data: bytes, raw_len: int) -> bytes:
 NEIGHBOURS = [(1, 3), (16, 2), (256, 2), (17, 1), (15, 1)]
 
 
-def residuals(data: bytes) -> bytes:
+def residuals(data: bytes, neighbours: list[tuple[int, int]] = NEIGHBOURS) -> bytes:
     """Each byte less the rounded weighted mean of the neighbours it has."""
     a = _bytes(data).astype(np.int64)
     total, weight = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    for distance, w in NEIGHBOURS:
+    for distance, w in neighbours:
         total[distance:] += w * a[: max(0, len(a) - distance)]
         weight[distance:] += w
     predicted = (total + weight // 2) // np.maximum(weight, 1)
@@ -165,7 +165,7 @@ _WHOLE: dict[str, tuple[Callable, Callable]] = {
 }
 _STEP = re.compile(r"(BIT|NIB|RES)|(DD|WD|WX|D|X|T)(\d+)")
 
-#: Candidate sets that experiments choose from.
+#: The candidate sets that experiments choose from, and the lags that are scored.
 CATALOGUES: dict[str, list[str]] = {
     "lags3": ["BASE", "D16", "D256"],
     "lags7": ["BASE", "D1", "D4", "D16", "D64", "D256", "D1024"],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,3 +33,25 @@ def map_chunks(chunks: DataFrame, fields: T.StructType, work: Callable[..., list
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+#: Rows of an output batch of map_arrays().
+OUT_ROWS = 1 << 16
+
+
+def map_arrays(chunks: DataFrame, fields: T.StructType, work: Callable[..., tuple[np.ndarray, ...]], keep: list[str]) -> DataFrame:
+    """keep plus fields: work(the bytes of a chunk) gives one array for each field, all of one length; a row for each entry."""
+    source = chunks.select(*keep, chunks["raw"].alias("in_raw"))
+    schema = T.StructType([*source.schema.fields[: len(keep)], *fields.fields])
+    kinds = [f.type for f in to_arrow_schema(fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                made = work(batch.column(len(keep))[row].as_py())
+                for at in range(0, len(made[0]), OUT_ROWS):
+                    part = [pa.array(m[at : at + OUT_ROWS]).cast(kind) for m, kind in zip(made, kinds)]
+                    same = pa.array(np.full(len(part[0]), row), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(same) for i in range(len(keep))), *part], names=schema.names)
+
+    return source.mapInArrow(run, schema)

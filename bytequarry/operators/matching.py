@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytequarry.functions import lz
+from bytequarry.functions import lz, matches
 from bytequarry.functions.scalar import low_bits_hash
-from bytequarry.operators.kernel_map import map_chunks
+from bytequarry.operators.kernel_map import map_arrays, map_chunks
 
 
 def tokens(chunks: DataFrame, options: lz.ParseOptions = lz.ParseOptions()) -> DataFrame:
@@ -30,16 +31,20 @@ def literal_counts(chunks: DataFrame, options: lz.ParseOptions = lz.ParseOptions
     fields = T._parse_datatype_string("tokens long, literals long")
 
     def work(raw):
-        found = lz.parse(bytes(raw), options)
-        return [(len(found), sum(1 for _, d in found if not d))]
+        found = matches.parsed(bytes(raw), options)
+        return [(len(found.start) + found.literals, found.literals)]
 
     return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk", "raw_len"])
 
 
-def packed(chunks: DataFrame, options: lz.ParseOptions = lz.ParseOptions(), verify: bool = True) -> DataFrame:
+def packed(
+    chunks: DataFrame, options: lz.ParseOptions = lz.ParseOptions(), verify: bool = True, coding: lz.PackOptions = lz.PackOptions(),
+    compete_from: float | None = None,
+) -> DataFrame:
     """(key, chunk, raw_len, mode, payload): mode 1 is packed, 0 the bytes as they are."""
     fields = T._parse_datatype_string("mode int, payload binary")
-    return map_chunks(chunks, fields, lambda raw: [lz.pack(bytes(raw), options, verify)], ["raw"], ["key", "chunk", "raw_len"])
+    work = lambda raw: [lz.pack(bytes(raw), options, verify, compete_from, coding)]
+    return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk", "raw_len"])
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
@@ -50,26 +55,28 @@ def unpacked(rows: DataFrame) -> DataFrame:
 
 
 def packed_with_penalty(chunks: DataFrame, penalty: Column, options: lz.ParseOptions = lz.ParseOptions()) -> DataFrame:
-    """packed(), each chunk with its own distance penalty (an expression over the columns of chunks)."""
+    """packed(), each chunk with its own distance penalty (an expression over the columns of chunks), which is kept."""
     from dataclasses import replace
 
     fields = T._parse_datatype_string("mode int, payload binary")
     given = chunks.withColumn("penalty", penalty.cast("double"))
     work = lambda raw, p: [lz.pack(bytes(raw), replace(options, distance=p))]
-    return map_chunks(given, fields, work, ["raw", "penalty"], ["key", "chunk", "raw_len"])
+    return map_chunks(given, fields, work, ["raw", "penalty"], ["key", "chunk", "raw_len", "penalty"])
 
 
 def grams(chunks: DataFrame) -> DataFrame:
     """(key, chunk, pos, gram, slot): the 4-byte little-endian value at every place, and its slot of 2**20. A view for
-    analysis: it makes a row of every byte."""
-    rows = chunks.where("raw_len >= 4").select("key", "chunk", F.hex("raw").alias("h"), F.explode(F.sequence(F.lit(0), (F.col("raw_len") - 4).cast("int"))).alias("pos"))
-    at = F.substring(F.col("h"), F.col("pos") * 2 + 1, F.lit(8))
-    flipped = F.concat(*[F.substring(at, i, 2) for i in (7, 5, 3, 1)])
-    rows = rows.select("key", "chunk", "pos", F.conv(flipped, 16, 10).cast("long").alias("gram"))
+    analysis: it makes a row of every byte, in time that grows with the bytes."""
+
+    def work(raw):
+        found = matches._words(bytes(raw), 4)
+        return np.arange(len(found), dtype=np.int32), found.astype(np.int64)
+
+    rows = map_arrays(chunks, T._parse_datatype_string("pos int, gram long"), work, ["key", "chunk"])
     return rows.withColumn("slot", low_bits_hash(F.col("gram")))
 
 
-def match_candidates(chunks: DataFrame, depth: int = 42, window: int = lz.ParseOptions.window) -> DataFrame:
+def match_candidates(chunks: DataFrame, depth: int = 42, window: int = matches.ParseOptions.window) -> DataFrame:
     """(key, chunk, pos, dist, rank): earlier places with the same 4 bytes among the `depth` last ones of the slot.
 
     A hash chain holds its slot's places in order, so the candidates of a place are those whose number in the slot is at
@@ -87,19 +94,13 @@ def match_candidates(chunks: DataFrame, depth: int = 42, window: int = lz.ParseO
 
 def longest_matches(chunks: DataFrame, options: lz.ParseOptions = lz.ParseOptions()) -> DataFrame:
     """(key, chunk, pos, len, dist): at every place the longest match; of equal ones the nearest."""
-    fields = T._parse_datatype_string("pos int, len int, dist int")
-
     def work(raw):
         data = bytes(raw)
-        finder, out = lz.MatchFinder(data, options), []
-        for at in range(len(data)):
-            length, distance = finder.longest(at, options.depth)
-            if length:
-                out.append((at, length, distance))
-            finder.add(at, at + 1)
-        return out
+        found = matches.Search(data, options.hash_bits, options.window).longest(options.depth)
+        at = np.flatnonzero(found.length)
+        return at, found.length[at], found.distance[at]
 
-    return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk"])
+    return map_arrays(chunks, T._parse_datatype_string("pos int, len int, dist int"), work, ["key", "chunk"])
 
 
 def top_candidates(candidates: DataFrame, score: Column, k: int = 2) -> DataFrame:
@@ -108,8 +109,11 @@ def top_candidates(candidates: DataFrame, score: Column, k: int = 2) -> DataFram
     return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def prefix_costs(chunks: DataFrame, literal: float, weight: float) -> DataFrame:
+def prefix_costs(chunks: DataFrame, literal: float, predicted: float | str, stride: int = 1) -> DataFrame:
     """(key, chunk, pos, cost): bits of the first pos + 1 bytes as literals; a range costs the difference of two."""
-    fields = T._parse_datatype_string("pos int, cost double")
-    work = lambda raw: list(enumerate(lz.prefix_costs(bytes(raw), literal, weight)[1:]))
-    return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk"])
+
+    def work(raw):
+        costs = lz.prefix_costs(bytes(raw), literal, predicted, stride)[1:]
+        return np.arange(len(costs)), costs
+
+    return map_arrays(chunks, T._parse_datatype_string("pos int, cost double"), work, ["key", "chunk"])

@@ -26,8 +26,8 @@ MEASURES = {
 }
 
 
-def profile(chunks: DataFrame, *names: str) -> DataFrame:
-    """chunks (key, chunk, raw_len, raw) with the named measures in place of the bytes."""
+def profile(chunks: DataFrame, *names: str, keep_raw: bool = False) -> DataFrame:
+    """chunks (key, chunk, raw_len, raw) with the named measures, in place of the bytes or (keep_raw) behind them."""
     names = names or tuple(MEASURES)
     fields = T.StructType([T.StructField(n, T._parse_datatype_string(MEASURES[n][0])) for n in names])
     measures = list(names)
@@ -36,7 +36,7 @@ def profile(chunks: DataFrame, *names: str) -> DataFrame:
         data = bytes(raw)
         return [tuple(MEASURES[n][1](data) for n in measures)]
 
-    return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk", "raw_len"])
+    return map_chunks(chunks, fields, work, ["raw"], ["key", "chunk", "raw_len", *(["raw"] if keep_raw else [])])
 
 
 def match_rates(chunks: DataFrame, lags: list[int], sampled: bool = False) -> DataFrame:
@@ -66,7 +66,7 @@ def excess(raw: Column, size: Column, target: float = TARGET) -> Column:
 
 
 def chunk_class(ratio: Column | None = None) -> Column:
-    """The first rule that fits; without a ratio the rule on sizes is left out."""
+    """The first rule that fits; without a ratio the rule on sizes is left out. Names and thresholds are fixed values."""
     structured = (F.col("res_entropy") <= 5.2) & ((F.col("eq16") > 0.10) | (F.col("eq256") > 0.08))
     hard = (F.col("entropy") >= 7.4) & (F.col("res_entropy") >= 7.1)
     repeats = (F.col("eq1") > 0.12) | (F.col("eq16") > 0.08) | (F.col("eq256") > 0.06)
@@ -114,7 +114,7 @@ TEXT_BANDS = {2: (0.80, 0.35, 1.05, 0.98, 1.18), 7: (0.78, 0.30, 1.03, 0.94, 1.1
 
 def distance_penalty(mode: int) -> Column:
     """Match distance penalty from printable, entropy and eq1. Modes: 1 entropy bands, 3 mixed rules, 2, 7, 8, 9 text
-    bands, 4 linear in text, 5 and in entropy, 6 and in repetition."""
+    bands, 4 linear in text, 5 and in entropy, 6 and in repetition. All thresholds and penalties are fixed values."""
     text, bits, rep = F.col("printable"), F.col("entropy"), F.col("eq1")
     if mode in TEXT_BANDS:
         return _bands(text, TEXT_BANDS[mode])
@@ -132,6 +132,7 @@ def distance_penalty(mode: int) -> Column:
 
 
 def lazy_depth(mode: int) -> Column:
+    """Search depth by text share; thresholds and depths are fixed values."""
     text = F.col("printable")
     if mode == 1:
         return F.when(text >= 0.75, 28).otherwise(19)

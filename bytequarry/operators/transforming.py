@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytequarry.functions import transforms
-from bytequarry.operators.kernel_map import map_chunks
+from bytequarry.operators.kernel_map import map_arrays, map_chunks
 
 _OUT = T.StructType([T.StructField("mode", T.StringType()), T.StructField("payload", T.BinaryType())])
 
@@ -31,10 +32,8 @@ def restored(payloads: DataFrame) -> DataFrame:
 
 def byte_rows(chunks: DataFrame) -> DataFrame:
     """(key, chunk, pos, v): for inspection and small inputs; it makes a row of every byte."""
-    h = F.hex("raw")
-    byte = F.conv(F.substring(F.col("h"), F.col("pos") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    rows = chunks.select("key", "chunk", h.alias("h"), F.explode(F.sequence(F.lit(0), F.octet_length("raw") - 1)).alias("pos"))
-    return rows.select("key", "chunk", "pos", byte.alias("v"))
+    work = lambda raw: (np.arange(len(raw), dtype=np.int32), np.frombuffer(raw, np.uint8))
+    return map_arrays(chunks, T._parse_datatype_string("pos int, v int"), work, ["key", "chunk"])
 
 
 def _ordered(*more: Column):
