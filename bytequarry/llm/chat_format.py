@@ -1,7 +1,9 @@
-"""Chat formatting as relational steps: collect, sort, merge and concatenate with Spark expressions only.
+"""Chat formatting as relational steps with Spark expressions only.
 
-A conversation's rows become structs, sorted by turn (ties by role, then text). Adjacent turns of one role form a
-block; a block's texts are joined by an inner separator, so that the merge can be undone:
+A conversation's turns are numbered by turn (ties by role, then text); neighbours tell where a role begins and ends, and a
+running sum where a turn's text will stand. The numbered structs are collected and sorted, adjacent turns of one role are
+merged by aggregating their slice of the array, and the blocks are concatenated. A block's texts are joined by an inner
+separator, so that the merge can be undone:
 
     <|im_start|>role \\n text <|im_sep|> text <|im_end|> \\n        (without the spaces)
 
@@ -11,16 +13,17 @@ dropping each backslash that stands before a character gives the original back.
 
 The loss mask is a list of spans, in UTF-8 bytes of the formatted string: one for each assistant turn's text.
 
-One conversation is one row of the result; its turns meet in one task after partial collection. Everything else is
-linear in its length, and nothing depends on the number of conversations.
+One conversation is one row of the result. Its turns are shuffled once, sorted within their task (which can spill), and
+every further step is linear in them; nothing depends on the number of conversations.
 
-Defined cases: a null text or role is the empty string; a null turn sorts first; a null conv_id is a conversation of
-its own; repeated rows are turns of their own; an empty table gives an empty table; other columns are ignored.
+Defined cases: a null text or role is the empty string; a null turn sorts first; turns with a null conv_id are one
+conversation; repeated rows are turns of their own; an empty table gives an empty table; texts of any length are formatted
+whole, as long as a conversation fits in a row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -47,6 +50,11 @@ def _bytes(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def format_conversations(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -58,45 +66,46 @@ def format_conversations(
     """(conv_id, formatted, loss_spans): loss_spans is an array of (start, length) in bytes of formatted."""
     of = lambda c: F.col(f"`{c}`")
     rows = turns.select(
-        of(conv_col).alias("conv_id"),
-        F.struct(
-            of(turn_col).alias("turn"),
-            F.coalesce(of(role_col), F.lit("")).alias("role"),
-            F.coalesce(of(text_col), F.lit("")).alias("text"),
-        ).alias("t"),
+        of(conv_col).alias("conv_id"), of(turn_col).alias("turn"),
+        F.coalesce(of(role_col), F.lit("")).alias("role"), F.coalesce(of(text_col), F.lit("")).alias("text"),
     )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    t = F.col("turns")
-    first = lambda x, i: (i == 0) | (F.get(t, i - 1)["role"] != x["role"])
-    last = lambda x, i: (i == F.size(t) - 1) | (F.coalesce(F.get(t, i + 1)["role"], F.lit("")) != x["role"])
-    # a turn's text with what the template puts in front of it and behind
-    pieces = sorted_turns.select(
-        "conv_id",
-        F.transform(
-            t,
-            lambda x, i: F.struct(
-                F.when(first(x, i), F.concat(F.lit(START), _escape_role(x["role"]), F.lit("\n"))).otherwise(F.lit(SEPARATOR)).alias("before"),
-                _escape(x["text"]).alias("text"),
-                F.when(last(x, i), F.lit(END)).otherwise(F.lit("")).alias("after"),
-                (x["role"] == loss_role).alias("loss"),
-            ),
-        ).alias("pieces"),
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    role, text = F.col("role"), F.col("told")
+    placed = rows.withColumns(
+        {
+            "n": F.row_number().over(order),
+            "first": F.coalesce(F.lag("role").over(order) != role, F.lit(True)),
+            "last": F.coalesce(F.lead("role").over(order) != role, F.lit(True)),
+            "told": _escape(F.col("text")),
+        }
     )
-    p = F.col("pieces")
-    formatted = F.array_join(F.transform(p, lambda x: F.concat(x["before"], x["text"], x["after"])), "")
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    before = F.when(F.col("first"), _bytes(_escape_role(role)) + len(START) + 1).otherwise(F.lit(len(SEPARATOR)))
+    after = F.when(F.col("last"), F.lit(len(END))).otherwise(F.lit(0))
+    end = F.sum(before + _bytes(text) + after).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    one = F.struct(
+        "n", "first", role.alias("role"), text.alias("text"), (end - after - _bytes(text)).alias("start"), (role == loss_role).alias("loss"),
+    )
+    collected = placed.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+
+    def blocks(t: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.get(t, i - 1)["first"])
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + _bytes(x["before"])
-        length = _bytes(x["text"])
-        span = F.array(F.struct(start.alias("start"), length.alias("length")))
-        return F.struct(
-            (start + length + _bytes(x["after"])).alias("at"),
-            F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
+        def merged(starts: Column) -> Column:
+            def block(at: Column, j: Column) -> Column:
+                run = F.slice(t, at, F.coalesce(F.get(starts, j + 1), F.size(t) + 1) - at)
+                told = F.array_join(F.transform(run, lambda x: x["text"]), SEPARATOR)
+                return F.concat(F.lit(START), _escape_role(F.get(t, at - 1)["role"]), F.lit("\n"), told, F.lit(END))
 
-    spans = F.aggregate(p, empty, step, lambda acc: acc["spans"])
-    return pieces.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+            return F.array_join(F.transform(starts, block), "")
+
+        return _let(firsts, merged)
+
+    span = lambda x: F.struct(x["start"].alias("start"), _bytes(x["text"]).alias("length"))
+    return collected.select(
+        "conv_id",
+        _let(F.col("turns"), blocks).alias("formatted"),
+        F.transform(F.filter("turns", lambda x: x["loss"]), span).alias("loss_spans"),
+    )
 
 
 def parse(formatted: Column) -> Column:
@@ -116,14 +125,5 @@ def parse(formatted: Column) -> Column:
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the mask, unescaped and joined."""
     raw = F.encode(formatted, "UTF-8")
-    texts = F.transform(
-        F.array(raw),
-        lambda b: F.array_join(
-            F.transform(
-                spans,
-                lambda s: unescape(F.decode(F.substring(b, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8")),
-            ),
-            "",
-        ),
-    )
-    return F.element_at(texts, 1)
+    text = lambda b, s: unescape(F.decode(F.substring(b, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8"))
+    return _let(raw, lambda b: F.array_join(F.transform(spans, lambda s: text(b, s)), ""))

@@ -403,6 +403,16 @@ def test_chat_reads_back(spark):
     assert chat_format.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """One conversation of 30,000 turns, in runs of one role, reads back whole."""
+    rows = spark.range(30_000).select(F.lit("c").alias("conv_id"), "id", F.lit(5).alias("conv_id_"), F.expr("if(id div 3 % 2 = 0, 'user', 'assistant')").alias("role"), F.concat(F.lit("é<|"), "id").alias("text"))
+    out = chat_format.format_conversations(rows.withColumnRenamed("id", "turn"))
+    r = out.select("formatted", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    want = [("user" if i // 3 % 2 == 0 else "assistant", f"é<|{i}") for i in range(30_000)]
+    assert [tuple(t) for t in r.turns] == want and r.loss == "".join(x for role, x in want if role == "assistant")
+    assert r.formatted.count(chat_format.START) == 10_000
+
+
 def test_chat_contract_conversation(spark):
     got = {r.conv_id: r for r in entries.op8_chat_format(spark, SF).collect()}[-7]
     said = "</s>[INST] ok [/INST]"
