@@ -300,7 +300,8 @@ def test_outliers(spark):
     assert len(kept & set(range(n))) == n and not kept & set(range(n, n + 63))
 
 
-def test_small_tables_reject_by_rules_only(spark, docs):
+def test_few_rows_and_odd_ones(spark, docs):
+    """A handful of texts: the priors keep those that no rule rejects."""
     kept = {r.doc_id for r in quality_rules.reject_outliers(docs.drop("n_words")).collect()}
     want = set()
     for i, t in enumerate(TEXTS):
@@ -311,14 +312,84 @@ def test_small_tables_reject_by_rules_only(spark, docs):
     assert quality_rules.reject_outliers(docs.limit(0)).count() == 0
 
 
+def plain_vector(text):
+    n, chars, symbols, dup, repeated = brute_counts(text)
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    share = lambda a, b: np.arcsin(np.sqrt(min(1.0, a / max(b, 1))))
+    made = [np.log(max(1.0, chars / max(n, 1))), share(symbols, len(text)), share(dup, len(lines)), share(repeated, n), share(sum("A" <= c <= "Z" for c in text), len(text))]
+    return [np.floor(1024 * m + 0.5) for m in made]
+
+
+FLOOR = np.diag(np.array(list(quality_rules.FLOORS.values())) ** 2)
+
+
+def plain_mcd(x):
+    """(center, spread) by plain concentration steps from three starts; x in fixed-point units."""
+    x = np.array(x) / 1024
+    distances = lambda m: ((x - m[0]) @ np.linalg.inv(m[1]) * (x - m[0])).sum(axis=1)
+
+    def step(m):
+        level = np.floor(32 * np.log2(np.maximum(distances(m), 2.0**-20)))
+        core = x[level <= np.sort(level)[int(np.ceil(quality_rules.H * len(x))) - 1]]
+        return core.mean(axis=0), quality_rules.CONSISTENCY * np.cov(core.T, bias=True) + FLOOR
+
+    q = np.percentile(x, [25, 50, 75], axis=0)
+    box = np.diag(((q[2] - q[0]) / 1.349) ** 2) + FLOOR
+    k = (x - q[1]) / np.sqrt(np.diag(box))
+    k = np.round(1024 * k / np.maximum(np.linalg.norm(k, axis=1, keepdims=True), 1e-9)) / 1024
+    toward = k.T @ k / len(k) * np.sqrt(np.outer(np.diag(box), np.diag(box))) + FLOOR
+    starts = [(q[1], box), (x.mean(axis=0), np.cov(x.T, bias=True) + FLOOR), (q[1], toward)]
+    best = min((step(step(m)) for m in starts), key=lambda m: np.linalg.slogdet(m[1])[1])
+    while np.linalg.slogdet((new := step(best))[1])[1] < np.linalg.slogdet(best[1])[1] - quality_rules.LOWER:
+        best = new
+    return best
+
+
+def test_distances_against_plain_estimates(spark):
+    """Groups of 1 to some 80 rows, with outliers, against estimates and weights made by plain code."""
+    docs, _ = _quality_docs(spark, 400)
+    judged, names = quality_rules.judge(*quality_rules.with_statistics(docs))
+    rows = {r.doc_id: r for r in judged.collect()}
+    good = {i: (r.lang, r.source, plain_vector(r.text)) for i, r in rows.items() if not r.base_failed}
+    of = lambda keep: [v for *_, v in filter(keep, good.values())]
+    weigh = lambda n, own, pool, k: tuple((n * a + k * b) / (n + k) for a, b in zip(own, pool))
+    everyone = of(lambda g: True)
+    whole = plain_mcd(everyone)
+    whole = weigh(len(everyone), whole, (whole[0], np.diag(np.array(list(quality_rules.PRIORS.values())) ** 2) + FLOOR), quality_rules.PRIOR_ROWS)
+    sizes = set()
+    for lang in {g[0] for g in good.values()}:
+        mine = of(lambda g: g[0] == lang)
+        pool = weigh(len(mine), plain_mcd(mine), whole, quality_rules.POOL_ROWS)
+        for source in {g[1] for g in good.values() if g[0] == lang}:
+            own = of(lambda g: g[:2] == (lang, source))
+            sizes.add(len(own))
+            center, spread = weigh(len(own), plain_mcd(own), pool, quality_rules.POOL_ROWS)
+            for i, g in good.items():
+                if g[:2] == (lang, source):
+                    d = np.array(g[2]) / 1024 - center
+                    d2 = d @ np.linalg.inv(spread) @ d
+                    assert rows[i].distance == pytest.approx(d2, rel=1e-6) and rows[i].kept == (d2 <= quality_rules.CUTOFF)
+    assert len(sizes) > 4 and min(sizes) < 40 < max(sizes)
+    assert all(rows[i].distance is None and not rows[i].kept for i in rows if i not in good)
+
+
+def test_shuffled_models_give_the_same(spark, monkeypatch):
+    docs, _ = _quality_docs(spark, 120)
+    stats, names = quality_rules.with_statistics(docs)
+    one = sorted((r.doc_id, r.distance or -1.0) for r in quality_rules.judge(stats, names)[0].collect())
+    monkeypatch.setattr(quality_rules, "MAX_BROADCAST_GROUPS", 0)
+    two = sorted((r.doc_id, r.distance or -1.0) for r in quality_rules.judge(stats, names)[0].collect())
+    assert one == two
+
+
 def test_mcd_withstands_a_fifth_of_outliers(spark):
     rng = np.random.default_rng(7)
-    good, bad = rng.normal(0, 400, (800, 5)), rng.normal(6000, 50, (200, 5))
+    good, bad = rng.normal(0, 100, (800, 5)), rng.normal(1500, 12, (200, 5))
     rows = spark.createDataFrame([("g", *map(int, r)) for r in np.concatenate([good, bad])], "gid string, x0 long, x1 long, x2 long, x3 long, x4 long")
     model = quality_rules.fit(rows).first()
-    assert np.abs(np.array(model.center)).max() < 0.05
-    precision = np.array(model.inverse).reshape(5, 5)
-    d2 = lambda x: float((x / 4096 - model.center) @ precision @ (x / 4096 - model.center))
+    assert model.rows == 1000 and np.abs(np.array(model.center)).max() < 0.05
+    precision = np.linalg.inv(np.array(model.spread).reshape(5, 5))
+    d2 = lambda x: float((x / 1024 - model.center) @ precision @ (x / 1024 - model.center))
     assert np.mean([d2(x) < quality_rules.CUTOFF for x in good]) == 1.0 and all(d2(x) > quality_rules.CUTOFF for x in bad)
 
 
@@ -331,8 +402,8 @@ def test_inverse(spark):
     rng = np.random.default_rng(8)
     a = rng.normal(size=(5, 9))
     m = a @ a.T
-    got = spark.createDataFrame([(m.reshape(-1).tolist(),)], "m array<double>").select(quality_rules._inverse(F.col("m")).alias("i")).first().i
-    assert np.allclose(np.array(got).reshape(5, 5) @ m, np.eye(5))
+    got = np.array(spark.createDataFrame([(m.reshape(-1).tolist(),)], "m array<double>").selectExpr(f"{quality_rules._swept('m')} AS i").first().i)
+    assert np.allclose(got[:25].reshape(5, 5) @ m, np.eye(5)) and got[25] == pytest.approx(np.linalg.slogdet(m)[1])
 
 
 # --- classifier --------------------------------------------------------------------------------------
