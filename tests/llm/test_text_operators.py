@@ -117,7 +117,7 @@ def _rows(df, kept, n="n_lines", d="n_dropped"):
     return sorted((r.doc_id, r[kept], r[n], r[d]) for r in df.collect())
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0], ids=["broadcast", "join"])
+@pytest.mark.parametrize("limit", [64 << 20, 0], ids=["broadcast", "shards"])
 @pytest.mark.parametrize("min_docs,min_chars", [(3, 1), (2, 2), (1, 1), (4, 0)])
 def test_line_dedup(spark, limit, min_docs, min_chars):
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(LINES)], "doc_id long, text string, kept string")
@@ -141,6 +141,38 @@ def test_line_index_is_reversible(spark):
     assert index.references.count() == 0
 
 
+def test_line_index_refuses_what_it_does_not_hold(spark):
+    frame = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string")
+    held = ["a\nb", "a\nc", "a\nb"]
+    index = line_dedup.LineIndex(spark, 2).insert(frame(held))
+    state = lambda: (sorted(map(tuple, index.references.collect())), len(index.tables), sorted((r.shard, bytes(r.slots)) for r in index.filters.collect()))
+    before = state()
+    for strange in (["zz"], ["a"], ["a\nb"] * 3, ["a\nc", "a\nc"], ["b\na"], [None]):  # known lines alone do not make a known text
+        with pytest.raises(ValueError):
+            index.delete(frame(strange))
+        assert state() == before
+    index.delete(frame(["a\nb"]))
+    assert _rows(index.drop_lines(frame(held[:2]).withColumn("doc_id", F.lit(0)))[0], "kept") == sorted([(0, "b", 2, 1), (0, "c", 2, 1)])
+    with pytest.raises(ValueError):
+        line_dedup.LineIndex(spark).delete(frame(["a"]))
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0], ids=["broadcast", "shards"])
+def test_many_updates_keep_the_index_exact(spark, monkeypatch, limit):
+    """Small shards, few tables and tiny groups: filters fill up, shards multiply, tables are summed."""
+    for name, value in {"KEYS_PER_SHARD": 8, "MAX_TABLES": 2, "FEW_KEYS": 6, "GROUP_ROWS": 20}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    rng = random.Random(11)
+    texts = ["\n".join(rng.choice([f"line {rng.randrange(60)}", "hot", ""]) for _ in range(rng.randint(0, 12))) for _ in range(90)]
+    index = line_dedup.LineIndex(spark, 3)
+    for step, rows in ((1, texts[:30]), (1, texts[30:]), (-1, texts[:45]), (1, texts[:10])):
+        (index.insert if step > 0 else index.delete)(frame(rows))
+    left = texts[45:] + texts[:10]
+    assert _rows(index.drop_lines(frame(left), max_broadcast_bytes=limit)[0], "kept") == [(i, *r) for i, r in enumerate(brute_lines(left, 3))]
+    assert index.n_shards > 1 and index.n_frequent == index.references.where("refs >= 3").count()
+
+
 def test_line_dedup_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup_lines(empty)[0].count() == 0
