@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: shared-folder tables and Arrow batch plumbing."""
+"""Helpers shared by the text operators: shared-folder tables, joins on hot keys and Arrow batch plumbing."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
@@ -16,10 +17,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of its own if all workers
+    are threads of the driver (a local master), and an error on a cluster, whose machines share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
@@ -55,6 +59,24 @@ def drop_table(df: DataFrame) -> None:
         fs.delete(jpath, True)
 
 
+#: Rows of one key that a task should have at most.
+HOT_ROWS = 100_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has each key once and the number n of its rows. The rows of a key of many are dealt
+    out over as many tasks, each with a copy of the key's row of table; keys of few go the usual way.
+
+    What is broadcast are the keys of more than HOT_ROWS rows: at most one for each HOT_ROWS rows there are.
+    """
+    salts = F.ceil(F.col(n) / HOT_ROWS).cast("int")
+    hot = F.broadcast(table.where(F.col(n) > HOT_ROWS).select(key, salts.alias("bq_salts")))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("bq_salts", F.lit(1)).cast("long")).cast("int")
+    left = rows.join(hot, key, "left").withColumn("bq_salt", salt).drop("bq_salts")
+    right = table.withColumn("bq_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [key, "bq_salt"], how).drop("bq_salt")
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """base, with underscores added until df has no such column (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -14,11 +14,13 @@ forest, not all pairs. Buckets with over SPLIT_ROWS fingerprints are cut into gr
 is a bucket of its own.
 
 Components: alternating large-star and small-star steps over the forest's edges, as joins and aggregations; each
-round's edges are written to the shared folder.
+round's edges are written to the shared folder. A fingerprint of many rows (empty texts, mass copies), a group of many
+fingerprints and the centre of a large star are dealt out over tasks when they are joined.
 
 Defined cases: a null or empty text and one without words has fingerprint zero and is linked like any other; a
 row without an id takes part in its group but never names it; a group whose rows all lack ids has a null
-component id; repeated rows share a component; an empty table gives an empty table.
+component id; repeated rows share a component; texts are read whole, whatever their length; an empty table gives an empty
+table; the result has its own columns, so names of other columns cannot clash, and keep_one_of_each has those of the table.
 """
 
 from __future__ import annotations
@@ -33,11 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytequarry.llm.common import append_columns, drop_table, fresh_name, materialize
+from bytequarry.llm.common import append_columns, drop_table, fresh_name, join_hot, materialize
 
 SHINGLE, RADIUS, SEED, BITS = 3, 3, 42, 64
 SPLIT_ROWS = 8192
-MAX_ROUNDS = 64
 
 _WEIGHTS = (np.uint64(1) << np.arange(BITS, dtype=np.uint64))
 
@@ -232,10 +233,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROW
             F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m, i in keys])
         ).alias("k"),
     ).select("k.which", "k.key", "fp")
-    sizes = keyed.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = sizes.withColumn("groups", F.ceil(F.col("n") / split_rows).cast("int"))
-    keyed = keyed.join(sizes.select("which", "key", "groups"), ["which", "key"])
-    own = F.when(F.col("groups") > 1, F.pmod(F.xxhash64("fp"), F.col("groups").cast("long")).cast("int")).otherwise(0)
+    # only buckets that are split need to be told: at most one for each split_rows keys there are
+    split = keyed.groupBy("which", "key").agg(F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("groups")).where("groups > 1")
+    keyed = keyed.join(F.broadcast(split), ["which", "key"], "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("groups").cast("long")).cast("int")
     paired = F.transform(
         F.sequence(F.lit(0), F.col("groups") - 1),
         lambda other: F.struct(
@@ -251,17 +252,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROW
 # --- components --------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, root) of every node of edges (u, v), root being the component's least node."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (u, v), root being the component's least node. Rounds go on until the edges
+    stay the same; their number grows with the logarithm of the nodes."""
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # after the large star, every edge goes from a node to a smaller one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, low, "u", "n")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = materialize(small.distinct(), "edges")
         drop_table(edges)
@@ -270,14 +272,13 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _grouped(prints: DataFrame, least: F.Column, radius: int, split_rows: int) -> DataFrame:
-    """(fp, least, root) of every fingerprint of prints; `least` is an aggregate of the fingerprint's rows, root names its group."""
-    distinct = prints.groupBy("fp").agg(least.alias("least"))
+    """(fp, n, least, root) of every fingerprint of prints: its rows, an aggregate of them, and the name of its group."""
+    distinct = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), least.alias("least"))
     nodes = components(links(distinct.select("fp"), radius, split_rows))
-    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
@@ -291,9 +292,9 @@ def near_duplicates(
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     prints = materialize(with_fingerprint(text, "text", "fp", shingle).select("id", "fp"), "fingerprints")
     grouped = materialize(_grouped(prints, F.min("id"), radius, split_rows), "groups")
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = grouped.join(named, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select("id", "fp", "component_id")
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    labelled = join_hot(grouped.select("fp", "n", "root"), named, "root", "fps").select("fp", "n", "component_id")
+    return join_hot(prints, labelled, "fp", "n").select("id", "fp", "component_id")
 
 
 def keep_one_of_each(

@@ -210,9 +210,35 @@ def brute_components(prints, radius):
     return [top(i) for i in range(len(prints))]
 
 
+def plain_fingerprint(text):
+    """The fingerprint from its definition, bit by bit."""
+    import xxhash
+
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_against_their_definition():
+    for t in TEXTS:
+        assert simhash.fingerprint(t.encode() if t else None) == plain_fingerprint(t)
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch, docs):
+    """With every key of over two rows taken for a hot one, groups are the same."""
+    plain = sorted((r.id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows, table = spark.range(50).selectExpr("id % 3 AS k", "id AS v"), spark.createDataFrame([(0, 17, "a"), (1, 17, "b"), (5, 0, "c")], "k long, n long, t string")
+    assert sorted(map(tuple, common.join_hot(rows, table, "k", "n").select("k", "v", "t").collect())) == sorted((i % 3, i, "ab"[i % 3]) for i in range(50) if i % 3 < 2)
+    assert sorted((r.id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == plain
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, i) for i in range(30, 45)], "u long, v long")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
 def test_near_duplicates_of_odd_texts(spark, docs):
     found = {r.id: r for r in simhash.near_duplicates(docs).collect()}
-    prints = [simhash.fingerprint(t.encode() if t else None) for t in TEXTS]
+    prints = [plain_fingerprint(t) for t in TEXTS]
     want = brute_components(prints, 3)
     for i in range(len(TEXTS)):
         assert found[i].fp % 2**64 == prints[i] and found[i].component_id == want[i]
