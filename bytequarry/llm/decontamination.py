@@ -7,11 +7,13 @@ two words, so a text position is looked at about once in twelve words; blocks th
 bucket, split by the pattern's first block, whose members are compared directly.
 
 The benchmark reaches the executors in blocks of at most WINDOWS_PER_BLOCK patterns, so what is broadcast
-has a fixed bound however large the benchmark is; each block is one pass over the texts.
+has a fixed bound however large the benchmark is. One block is one pass over the texts. Of several, each reads the texts
+and gives the spans and items of those that have any; these are sent to the texts' rows once, when all blocks are through.
 
 Defined cases: a null text or item has no words; a text without words is never contaminated; items without
 words never occur; an item that is repeated counts once by its id; items without an id mark words but are
-not reported.
+not reported; texts are searched whole, whatever their length; empty tables give empty tables, or texts without hits; new
+columns get other names where the table has them already.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytequarry.llm.common import fresh_name, materialize
+from bytequarry.llm.common import column_bytes, fresh_name, materialize
 
 WINDOW = 13
 WINDOWS_PER_BLOCK = 200_000
@@ -129,67 +131,97 @@ def contamination(
     spark = docs.sparkSession
     names = {n: fresh_name(docs, n) for n in ("n_words", "n_hit", "hit_spans", "items")}
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
-    base, out = docs, None
-    for block in item_blocks(benchmark, item_id_col, item_text_col, window, windows_per_block):
-        source = base if out is None else materialize(out, "decontamination")
-        out = _one_block(source, text_col, spark.sparkContext.broadcast(block), names, span, window, out is None)
-    if out is None:
-        out = _one_block(base, text_col, spark.sparkContext.broadcast([]), names, span, window, True)
-    return out, names
-
-
-def _one_block(source, text_col, sent, names, span, window, first):
-    """One pass over the texts. Later passes merge with the spans and items found so far."""
-    key = uuid.uuid4().hex
-    span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    schema = T.StructType(
-        [f for f in source.schema.fields if first or f.name not in names.values()]
-        + [
-            T.StructField(names["n_words"], T.LongType()),
-            T.StructField(names["n_hit"], T.LongType()),
-            T.StructField(names["hit_spans"], span),
-            T.StructField(names["items"], T.ArrayType(T.StringType())),
+    out = T.StructType(
+        [
+            *docs.schema.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["n_hit"], T.LongType()),
+            T.StructField(names["hit_spans"], span), T.StructField(names["items"], T.ArrayType(T.StringType())),
         ]
     )
-    kept = [f.name for f in schema.fields[:-4]]
-
-    def find(text: bytes | None, spans: list, items: list, using: list[WuManber]) -> tuple[int, int, list, list]:
-        words = split_words(text)
-        found, mask = set(items), None
-        if spans:
-            mask = np.zeros(len(words), bool)
-            for s in spans:
-                mask[s["first"] : s["last"] + 1] = True
-        for searcher in using:
-            for start, ids in searcher.search(words):
-                if mask is None:
-                    mask = np.zeros(len(words), bool)
-                mask[start : start + searcher.length] = True
-                found.update(ids)
-        if mask is None:
-            return len(words), 0, [], []
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-        merged = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
-        return len(words), int(mask.sum()), merged, sorted(found)
+    at = docs.columns.index(text_col)
+    blocks = item_blocks(benchmark, item_id_col, item_text_col, window, windows_per_block)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        sent, key = spark.sparkContext.broadcast(first), uuid.uuid4().hex
+
+        def whole(batches):
+            using = built_searchers(key, sent.value, window)
+            for part, texts in _slices(batches, at):
+                words = [split_words(t) for t in texts]
+                yield _with_hits(part.columns, out.names, words, [occurrences(w, using) for w in words])
+
+        return docs.mapInArrow(whole, out), names
+    row = fresh_name(docs, "decontamination_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination")
+    some = numbered.select(row, F.col(f"`{text_col}`"))
+    found = None
+    for block in (b for group in ([first, second], blocks) for b in group):
+        part = _hits_of(some, spark.sparkContext.broadcast(block), window)
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    taken = [fresh_name(numbered, f"bq_{c}") for c in ("spans", "items")]
+    joined = numbered.join(merged.toDF(row, *taken), row, "left").drop(row)
+
+    def told(batches):
+        for part, texts in _slices(batches, at):
+            spans, items = (part.column(part.num_columns - k).to_pylist() for k in (2, 1))
+            hits = [([(s["first"], s["last"]) for s in a or ()], set(b or ())) for a, b in zip(spans, items)]
+            yield _with_hits(part.columns[:-2], out.names, [split_words(t) for t in texts], hits)
+
+    return joined.mapInArrow(told, out), names
+
+
+def _slices(batches, at: int):
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            yield part, column_bytes(part.column(at))
+
+
+def occurrences(words: list[bytes], using: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
+    """(first, last) words of the occurrences, and the items that occur."""
+    spans, items = [], set()
+    for searcher in using:
+        for start, ids in searcher.search(words):
+            spans.append((start, start + searcher.length - 1))
+            items.update(ids)
+    return spans, items
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _with_hits(columns, names, words: list[list[bytes]], hits: list[tuple[list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
+    """The columns with n_words, n_hit, hit_spans (merged) and items."""
+    sizes, spans, items = [], [], []
+    for own, (found, ids) in zip(words, hits):
+        mask = np.zeros(len(own) + 1 if found else 0, np.int64)
+        for first, last in found:
+            mask[first] += 1
+            mask[last + 1] -= 1
+        inside = np.concatenate([[0], np.cumsum(mask) > 0, [0]]).astype(np.int8)
+        edges = np.flatnonzero(np.diff(inside))
+        sizes.append(int(inside.sum()))
+        spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])])
+        items.append(sorted(ids))
+    made = [pa.array([len(w) for w in words], pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*columns, *made], names=names)
+
+
+def _hits_of(rows: DataFrame, sent, window: int) -> DataFrame:
+    """(row, spans, items) of the rows (number, text) in which a window of the block occurs."""
+    key, names = uuid.uuid4().hex, ["row", "spans", "items"]
 
     def run(batches):
         using = built_searchers(key, sent.value, window)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(part.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
-                old = [([], [])] * len(texts)
-                if not first:
-                    old = list(zip(part.column(names["hit_spans"]).to_pylist(), part.column(names["items"]).to_pylist()))
-                rows = [find(t, *o, using) for t, o in zip(texts, old)]
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept]
-                    + [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], span_type), pa.array(cols[3], pa.list_(pa.string()))],
-                    names=schema.names,
-                )
-
-    return source.mapInArrow(run, schema)
+        for part, texts in _slices(batches, 1):
+            numbers, spans, items = [], [], []
+            for number, text in zip(part.column(0).to_pylist(), texts):
+                found, ids = occurrences(split_words(text), using)
+                if found:
+                    numbers.append(number), spans.append([{"first": a, "last": b} for a, b in found]), items.append(sorted(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=names)
+
+    return rows.mapInArrow(run, "row long, spans array<struct<first: long, last: long>>, items array<string>")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
