@@ -48,9 +48,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
     out._bq_path = path
+    _written.append(out)
     return out
 
 
+#: Materialized tables in the order in which they were written.
+_written: list[DataFrame] = []
+
+
+def tables_written() -> int:
+    return len(_written)
+
+
+def drop_before(keep: DataFrame, since: int) -> None:
+    """Removes the tables written after the first `since`, except `keep`, which must not read any of them."""
+    for table in _written[since:]:
+        if table is not keep:
+            drop_table(table)
+    _written[since:] = [keep]
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
     path = getattr(df, "_bq_path", None)

@@ -21,8 +21,10 @@ def _texts(spark: SparkSession, sf_dir: str, name: str = "documents", columns: t
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.example_findings(spark))
-    found = secret_scan.scan(_texts(spark, sf_dir, columns=("doc_id", "text", "source")), forest, "text", "source", ["doc_id"])
+    docs = _texts(spark, sf_dir, columns=("doc_id", "text", "source"))
+    spoken = secret_scan.language(docs)
+    forest = secret_scan.train(secret_scan.example_findings(spark, spoken), spoken)
+    found, _ = secret_scan.scan(docs, forest, spoken, "text", "source", ["doc_id"])
     return found.select("doc_id", "start", "length", "candidate", "score", "is_secret")
 
 
@@ -39,12 +41,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)
     weights = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, weights, "text", "score")
+    scored, score = quality_classifier.score(docs, weights)
     return scored.select(
         "doc_id",
         quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
-        "score",
-        quality_classifier.predicted(F.col("score")).alias("predicted"),
+        score,
+        quality_classifier.predicted(F.col(score)).alias("predicted"),
     )
 
 

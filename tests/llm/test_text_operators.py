@@ -483,14 +483,67 @@ def test_classifier_held_out_accuracy(spark):
 def test_classifier_edges(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(1, 1, 0), (None, 1, 0), (2, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     weights = quality_classifier.train(docs, labels, train_rows=50)
-    scored = {r.doc_id: r.s for r in quality_classifier.score(docs, weights, "text", "s").collect()}
+    scored = {r.doc_id: r.s for r in quality_classifier.score(docs, weights)[0].withColumnRenamed("score", "s").collect()}
     assert len(scored) == len(TEXTS) and all(0 <= s <= 1 for s in scored.values())
     assert scored[9] == scored[10] == scored[11]
     again = quality_classifier.train(docs.repartition(7), labels.repartition(3), train_rows=50)
     assert (weights == again).all()
     none = quality_classifier.train(docs, labels.limit(0))
-    assert {r.s for r in quality_classifier.score(docs, none, "text", "s").collect()} == {0.5}
-    assert quality_classifier.score(docs.limit(0), weights, "text", "s").count() == 0
+    assert {r.s for r in quality_classifier.score(docs, none)[0].withColumnRenamed("score", "s").collect()} == {0.5}
+    assert quality_classifier.score(docs.limit(0), weights)[0].count() == 0
+    clashing, name = quality_classifier.score(docs.withColumn("Score", F.lit(1)), weights)
+    assert name == "score_" and len(set(map(str.lower, clashing.columns))) == len(clashing.columns) and clashing.where("score_ BETWEEN 0 AND 1").count() == len(scored) + 1
+
+
+def plain_model(rows, bits, epochs, with_shapes):
+    """Logistic regression by FTRL-proximal updates, one weight at a time; rows are (text, label) in order."""
+    import xxhash
+
+    alpha, beta, l1, l2 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2
+    z, n = Counter(), Counter()
+
+    def vector(text):
+        words = (text or "").encode().split()
+        h = [xxhash.xxh3_64_intdigest(w) for w in words]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) * 0x9E3779B97F4A7C15 % 2**64 for a, b in zip(h, h[1:])]
+        kinds = [h, pairs]
+        if with_shapes:
+            kind = lambda b: "0" if 48 <= b <= 57 else "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else chr(b)
+            told = ["".join(map(kind, w)) for w in words]
+            shapes = [xxhash.xxh3_64_intdigest((t[:1] + t[-3:]).encode()) * 0xC2B2AE3D27D4EB4F % 2**64 for t in told]
+            both = [((a + (u == v)) * 0x9E3779B97F4A7C15 + b) * 0x9E3779B97F4A7C15 % 2**64 for a, b, u, v in zip(shapes, shapes[1:], h, h[1:])]
+            kinds += [shapes, both]
+        out = Counter()
+        for kind in kinds:
+            for x in kind:
+                out[x >> 64 - bits] += quality_classifier.SCALE / len(kind)
+        return {**out, "bias": 1.0}
+
+    def weight(i):
+        a, b = (0.0, 0.0) if i == "bias" else (l1, l2)
+        return 0.0 if abs(z[i]) <= a else -(z[i] - (a if z[i] > 0 else -a)) / ((beta + n[i] ** 0.5) / alpha + b)
+
+    score = lambda x: 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+    for _ in range(epochs):
+        for text, label in rows:
+            x = vector(text)
+            p, w = score(x), {i: weight(i) for i in x}
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return lambda text: score(vector(text))
+
+
+@pytest.mark.parametrize("with_shapes", [True, False])
+def test_classifier_against_plain_updates(spark, docs, with_shapes):
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(len(TEXTS))], "doc_id long, quality int")
+    turns = spark.range(len(TEXTS)).select("id", F.xxhash64("id").alias("turn"), quality_classifier.held_out(F.col("id")).alias("h")).collect()
+    order = [r.id for r in sorted(turns, key=lambda r: (r.turn, r.id)) if not r.h]
+    weights = quality_classifier.train(docs, labels, bits=12, epochs=2, with_shapes=with_shapes)
+    plain = plain_model([(TEXTS[i], i % 3 % 2) for i in order], 12, 2, with_shapes)
+    for r in quality_classifier.score(docs, weights, bits=12, with_shapes=with_shapes)[0].collect():
+        assert r.score == pytest.approx(plain(r.text), abs=1e-5), r.doc_id
 
 
 def test_held_out_fold(spark):
