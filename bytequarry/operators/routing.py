@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytequarry.functions import transforms
+from bytequarry.functions import profile, transforms
 from bytequarry.operators.kernel_map import map_chunks
 from bytequarry.sources import codecs
 
@@ -17,6 +19,14 @@ FLAG_BYTES = 1  # that a choice among candidates takes in an archive
 _SIZES = T.StructType([T.StructField("mode", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("size", T.LongType())])
 
 
+def _size_by(codec: str) -> Callable[[bytes], int]:
+    """What a codec makes of a buffer, in bytes; "order0" stands for an ideal coder of single bytes."""
+    if codec == "order0":
+        return lambda data: math.ceil(round(profile.entropy(data), 6) * len(data) / 8)
+    pack = codecs.get(codec)[0]
+    return lambda data: len(pack(data))
+
+
 def candidates(chunks: DataFrame, tags: list[str], codec: str = "zlib-6", flag_bytes: int = FLAG_BYTES) -> DataFrame:
     """(key, chunk, raw_len, mode, tag, size): every chunk in every transform, packed. A chunk's candidates are made in
     one pass over its bytes; only sizes leave the task. mode is the tag's place in `tags`."""
@@ -24,20 +34,18 @@ def candidates(chunks: DataFrame, tags: list[str], codec: str = "zlib-6", flag_b
         transforms.steps(tag)
 
     def work(raw):
-        pack, data = codecs.get(codec)[0], bytes(raw)
-        return [(i, t, len(pack(transforms.apply(data, t))) + flag_bytes) for i, t in enumerate(tags)]
+        size, data = _size_by(codec), bytes(raw)
+        return [(i, t, size(transforms.apply(data, t)) + flag_bytes) for i, t in enumerate(tags)]
 
     return map_chunks(chunks, _SIZES, work, ["raw"], ["key", "chunk", "raw_len"])
 
 
 def top_lag_candidates(chunks: DataFrame, lags: list[int] = transforms.LAGS, k: int = 3, codec: str = "zlib-6") -> DataFrame:
     """candidates() of BASE and, for each chunk's k best lags, a delta and transpose at that lag."""
-    from bytequarry.functions.profile import top_lags
-
     def work(raw):
-        data, pack = bytes(raw), codecs.get(codec)[0]
-        tags = ["BASE"] + [f"D{lag}T{lag}" for _, lag in top_lags(data, lags, k)]
-        return [(i, t, len(pack(transforms.apply(data, t))) + FLAG_BYTES) for i, t in enumerate(tags)]
+        data, size = bytes(raw), _size_by(codec)
+        tags = ["BASE"] + [f"D{lag}T{lag}" for _, lag in profile.top_lags(data, lags, k)]
+        return [(i, t, size(transforms.apply(data, t)) + FLAG_BYTES) for i, t in enumerate(tags)]
 
     return map_chunks(chunks, _SIZES, work, ["raw"], ["key", "chunk", "raw_len"])
 

@@ -9,6 +9,8 @@ from bytequarry.functions import scalar
 from bytequarry.operators import analytics as A
 
 WEAK, GUARD = [1, 2], [3, 4, 5]
+#: A grid has a row for every profile and file, so it is refused beyond so many files.
+MAX_GRID_FILES = 10_000
 CODEC_NAMES = {"A": "order-0", "N": "dictionary"}
 
 
@@ -93,7 +95,7 @@ def share_of_total(spark, sf_dir):
 
 def filtered_runs(spark, sf_dir):
     rows = runs(spark, sf_dir).where((F.col("profile") == "R") & F.col("file").isin(GUARD))
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw")).drop("seconds")
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw"), F.sum("seconds").alias("seconds")).drop("seconds")
 
 
 def distinct_profiles(spark, sf_dir):
@@ -103,7 +105,11 @@ def distinct_profiles(spark, sf_dir):
 def profile_grid(spark, sf_dir):
     """Every profile with every file, measured or not."""
     rows = runs(spark, sf_dir)
-    grid = rows.select("profile").distinct().crossJoin(F.broadcast(rows.where("file <= 7").select("file").distinct()))
+    profiles, files = rows.select("profile").distinct(), rows.select("file").distinct()
+    n_files = files.count()
+    if n_files > MAX_GRID_FILES:
+        raise ValueError(f"a grid over {n_files} files would have as many rows for every profile")
+    grid = profiles.crossJoin(F.broadcast(files))
     counts = rows.groupBy("profile", "file").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["profile", "file"], "left").fillna(0, ["n"])
 
@@ -124,7 +130,7 @@ def union_runs(spark, sf_dir):
 
 def customer_nation_lookup(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal")
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     joined = customers.join(F.broadcast(nations), "c_nationkey", "left")  # a nation is one of 25
     name = F.coalesce("n_name", F.lit("")).alias("n_name")
     return joined.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
@@ -167,6 +173,15 @@ def dist_byte_class(spark, sf_dir):
     return rows.groupBy(scalar.distance_bytes(F.col("dist")).alias("bytes"), scalar.length_class(F.col("len")).alias("length_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def distance_classes(spark, sf_dir):
+    """Classes of distances, those among the last two of the customer apart, and file-safe names for them."""
+    rows = _distances(spark, sf_dir)
+    cached = (F.col("dist") == F.col("last")) | (F.col("dist") == F.col("older"))
+    kind = scalar.distance_class(F.col("dist"), F.coalesce(cached, F.lit(False)))
+    named = rows.select(kind.alias("kind"), scalar.safe_name(F.concat(F.lit("dist "), kind.cast("string"), F.lit("/x"))).alias("name"))
+    return named.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def match_cost(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 7 % 70000).alias("dist"), (F.col("o_custkey") % 300 + 4).alias("len"))
     return rows.select("o_orderkey", F.round(scalar.match_cost(F.col("len"), F.col("dist"), 9.42, 1.2), 6).alias("cost"))
@@ -203,7 +218,7 @@ QUERIES = {
     for f in (
         derived_metrics, sweep_summary, harmonic_throughput, median3, summed_median_throughput, baseline_delta, weak_guard_sums, ratio_rank,
         global_totals, class_lookup, share_of_total, filtered_runs, distinct_profiles, profile_grid, size_equality, union_runs,
-        customer_nation_lookup, formatted_report, distance_lattice_bonus, distance_lattice_code, zigzag_delta, dist_byte_class, match_cost,
+        customer_nation_lookup, formatted_report, distance_lattice_bonus, distance_lattice_code, zigzag_delta, dist_byte_class, distance_classes, match_cost,
         key_hashes, scalar_clamps, raw_escape, ewma_error,
     )
 }
@@ -258,7 +273,7 @@ ORACLES = {
     "share_of_total": f"""WITH {RUNS} SELECT profile, class, CAST(sum(size) AS BIGINT) AS size, round(sum(size) / (SELECT sum(size) FROM runs), 6) AS share FROM runs GROUP BY profile, class""",
     "filtered_runs": f"WITH {RUNS} SELECT file, count(*) AS n, CAST(sum(raw) AS BIGINT) AS raw FROM runs WHERE profile = 'R' AND file IN (3, 4, 5) GROUP BY file",
     "distinct_profiles": f"WITH {RUNS} SELECT DISTINCT profile FROM runs ORDER BY profile",
-    "profile_grid": f"""WITH {RUNS} SELECT p.profile, g.file, count(r.raw) AS n FROM (SELECT DISTINCT profile FROM runs) p CROSS JOIN (SELECT DISTINCT file FROM runs WHERE file <= 7) g
+    "profile_grid": f"""WITH {RUNS} SELECT p.profile, g.file, count(r.raw) AS n FROM (SELECT DISTINCT profile FROM runs) p CROSS JOIN (SELECT DISTINCT file FROM runs) g
   LEFT JOIN runs r ON r.profile = p.profile AND r.file = g.file GROUP BY p.profile, g.file""",
     "size_equality": f"""{_PER_FILE}, p AS (SELECT 'A-A' AS pair, 'A' AS x, 'A' AS y UNION ALL SELECT 'A-R', 'A', 'R'), j AS (
   SELECT pair, a.file AS fa, b.file AS fb, a.size AS sa, b.size AS sb FROM p JOIN f a ON a.profile = p.x JOIN f b ON b.profile = p.y AND a.file = b.file)
@@ -267,7 +282,7 @@ ORACLES = {
     "union_runs": f"""{_PER_FILE} SELECT profile, count(*) AS n, count(size) AS sized, CAST(sum(raw) AS BIGINT) AS raw FROM (
   SELECT profile, file, raw, size FROM f UNION ALL SELECT 'copy', file, raw, NULL FROM f WHERE profile = 'A') GROUP BY profile""",
     "customer_nation_lookup": """SELECT coalesce(n_name, '') AS n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer
-  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey GROUP BY 1""",
+  LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
     "formatted_report": f"""WITH {RUNS} SELECT profile, format('{{:,}}', CAST(sum(size) AS BIGINT)) AS size, printf('%.3f', round(100.0 * sum(size) / sum(raw), 3)) AS ratio_pct FROM runs GROUP BY profile""",
     "distance_lattice_bonus": f"{_DIST} SELECT o_orderkey, dist, " + ", ".join(f"round(CAST({_bonus(m)} AS DOUBLE), 4) AS bonus_{m}" for m in range(1, 10)) + " FROM x",
     "distance_lattice_code": f"""{_DIST} SELECT o_orderkey, dist, coalesce({_ANCHOR}, 0) AS code_1, CAST(0 AS BIGINT) AS quotient_1, {_C2} AS code_2, {_Q2} AS quotient_2,
@@ -275,6 +290,8 @@ ORACLES = {
     "zigzag_delta": f"{_DIST} SELECT o_orderkey, abs(dist - last) * 2 - CAST(dist < last AS INTEGER) AS z, dist - last AS d FROM x WHERE last IS NOT NULL",
     "dist_byte_class": """SELECT CASE WHEN d < 256 THEN 1 WHEN d < 65536 THEN 2 ELSE 3 END AS bytes, CASE WHEN l <= 7 THEN 0 WHEN l <= 31 THEN 1 WHEN l <= 255 THEN 2 ELSE 3 END AS length_class,
   count(*) AS n FROM (SELECT o_orderkey * 7 % 70000 AS d, o_custkey % 300 AS l FROM orders) GROUP BY ALL""",
+    "distance_classes": f"""{_DIST}, k AS (SELECT CASE WHEN coalesce(dist = last, false) OR coalesce(dist = older, false) THEN 0 WHEN dist < 256 THEN 1 WHEN dist < 65536 THEN 2 ELSE 3 END AS kind FROM x)
+  SELECT kind, 'dist_' || kind || '_x' AS name, count(*) AS n FROM k GROUP BY kind""",
     "match_cost": """SELECT o_orderkey, round(9.42 + CASE WHEN l <= 7 THEN 1.0 ELSE log2(l + 1.0) END + CAST(1.2 AS DOUBLE) * log2(d + 1.0), 6) AS cost
   FROM (SELECT o_orderkey, o_orderkey * 7 % 70000 AS d, o_custkey % 300 + 4 AS l FROM orders)""",
     "key_hashes": """SELECT o_orderkey, CAST((CAST(v AS HUGEINT) * 2654435761) % 1048576 AS BIGINT) AS low20, CAST(((CAST(v AS HUGEINT) * 2654435761) % 4294967296) // 1048576 AS BIGINT) AS top12

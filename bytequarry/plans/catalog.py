@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytequarry.plans import analytics_queries, archive_queries, chunk_queries, kernel_queries
+from bytequarry.plans import analytics_queries, archive_queries, catalogue_queries, chunk_queries, kernel_queries
 
 FLAGSHIP = "byte_entropy"
-_MODULES = (chunk_queries, analytics_queries, kernel_queries, archive_queries)
+_MODULES = (chunk_queries, catalogue_queries, analytics_queries, kernel_queries, archive_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

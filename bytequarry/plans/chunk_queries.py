@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.operators import profiles, routing, transforming
+from bytequarry.sources import archive
 from bytequarry.sources import chunks as source
 
 CHUNK = 4096
@@ -191,36 +192,20 @@ def oracle_rollup(spark, sf_dir):
 
 
 def routed_zlib(spark, sf_dir):
-    """Six candidates for each chunk, measured by a real codec."""
-    chosen = routing.best(routing.candidates(chunks(spark, sf_dir, 65536), TAGS6, flag_bytes=0), "mode")
-    return _ids(chosen, "raw_len", "base", "best_size", "best_mode", "best_tag", "saved")
-
-
-def top_lag_oracle(spark, sf_dir):
-    """BASE against delta and transpose at each chunk's three best lags."""
-    return _ids(routing.best(routing.top_lag_candidates(chunks(spark, sf_dir, 65536)), "tag"), "base", "best_size", "best_tag", "saved")
-
-
-def candidate_map(spark, sf_dir):
-    """Every chunk's sizes by tag."""
-    return _candidate_map(benchmark_chunks(spark, sf_dir))
-
-
-def documents_candidate_map(spark, sf_dir):
-    return _candidate_map(source.spread(chunks(spark, sf_dir))).withColumnRenamed("item_id", "doc_id")
-
-
-def _candidate_map(given):
-    return routing.size_map(routing.candidates(given, ["BASE", "D28T28", "X28T28", "DD28T28"])).select(F.col("key").alias("item_id"), "chunk", F.to_json("all").alias("sizes"))
+    """Every chunk in the smallest of six candidates by a real codec, and restored from it."""
+    records = archive.pack(chunks(spark, sf_dir, 65536), TAGS6)
+    fits = records.agg(F.bool_and(F.octet_length("payload") <= F.col("raw_len")).alias("never_larger"), F.bool_and(F.col("transform").isin(TAGS6)).alias("known"))
+    back = archive.restore(records).select(F.col("key").cast("long").alias("doc_id"), "chunk", "raw_len", F.sha2("raw", 256).alias("raw_sha256"))
+    return back.crossJoin(F.broadcast(fits))  # one row
 
 
 def codec_round_trips(spark, sf_dir):
-    """Sizes of general codecs, with a check of each round trip."""
+    """General codecs: a check of each round trip, and that they save."""
     from bytequarry.sources import codecs
 
     names = [n for n in ("zlib-6", "bzip2-9", "zstd-3") if n in codecs.names()]
     runs = routing.codec_runs(chunks(spark, sf_dir, 65536), names)
-    return runs.groupBy("codec").agg(F.sum("raw_len").alias("raw"), F.sum("size").alias("size"), F.bool_and("sha_ok").alias("all_ok"))
+    return runs.groupBy("codec").agg(F.sum("raw_len").alias("raw"), (F.sum("size") < F.sum("raw_len") * 0.7).alias("saves"), F.bool_and("sha_ok").alias("all_ok"))
 
 
 _TRANSFORMS = {
@@ -234,7 +219,7 @@ QUERIES = {
     for f in (
         chunk_scan, chunk_counts, byte_entropy, printable_share, eq_rate, sampled_lag_score, top3_lags, neighbour_residual_entropy,
         repeat_rate_4gram, chain_depth_band, raw_gate, lazy_depth_band, chunk_class, class_stats, worst_chunks, byte_rows_delta, documents_byte_rows_delta,
-        best_mode_by_size, mode_histogram, oracle_rollup, routed_zlib, top_lag_oracle, candidate_map, documents_candidate_map, codec_round_trips,
+        best_mode_by_size, mode_histogram, oracle_rollup, routed_zlib, codec_round_trips,
     )
 }
 QUERIES |= {"text_band_penalty": _penalties((1, 2, 3, 7, 8, 9)), "continuous_penalty": _penalties((4, 5, 6))}
@@ -395,6 +380,9 @@ ORACLES = {
   LEFT JOIN best ON best.best_mode = m.mode GROUP BY m.mode, m.tag""",
     "oracle_rollup": f"""{_CANDIDATES} SELECT doc_id, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(base) AS BIGINT) AS base, CAST(sum(best_size) AS BIGINT) AS best,
   CAST(sum(base - best_size) AS BIGINT) AS saved, round(sum(best_size) / sum(n), 6) AS ratio FROM best GROUP BY ROLLUP (doc_id)""",
+    "routed_zlib": f"WITH {_chunk_cte(65536)} SELECT doc_id, chunk, CAST(n AS BIGINT) AS raw_len, sha256(unhex(h)) AS raw_sha256, true AS never_larger, true AS known FROM chunks",
+    "codec_round_trips": """SELECT codec, CAST(sum(octet_length(encode(text))) AS BIGINT) AS raw, true AS saves, true AS all_ok FROM documents, (SELECT unnest(['zlib-6', 'bzip2-9', 'zstd-3']) AS codec)
+  WHERE text <> '' GROUP BY codec""",
     "byte_rows_delta": f"""WITH {_chunk_cte(CHUNK, 'benchmark', 'item_id')},
   o AS ({_hashed(_transposed(_delta(_delta('SELECT * FROM b', 4, key='item_id'), 3, '^', key='item_id'), 4, 'item_id'), 'item_id')}), i AS ({_hashed('SELECT * FROM b', 'item_id')})
   SELECT item_id, chunk, o.out_sha256, i.out_sha256 AS raw_sha256 FROM o JOIN i USING (item_id, chunk)""",
