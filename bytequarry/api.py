@@ -1,26 +1,35 @@
 """Archive, restore, profile and route: the engine's front door.
 
-    python -m bytequarry.api archive DIR ARCHIVE | restore ARCHIVE DIR | profile DIR | route DIR
+    python -m bytequarry.api archive DIR ARCHIVE [LITERAL MATCH DISTANCE] | restore ARCHIVE DIR | profile DIR | route DIR
+
+With the three costs (bits of a literal, of a match, and for each doubling of its distance) chunks are packed by the
+engine's own kernel.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytequarry.functions.lz import ParseOptions
 from bytequarry.operators import profiles, routing
 from bytequarry.sources import archive as archives
 from bytequarry.sources import chunks as source
 
 
-def archive(spark: SparkSession, path: str, out: str, tags: list[str] | None = None, codec: str = "zlib-6", chunk_bytes: int = source.CHUNK_BYTES) -> None:
-    """Pack a file or directory into an archive directory."""
+def archive(
+    spark: SparkSession, path: str, out: str, tags: list[str] | None = None, codec: str = "zlib-6", chunk_bytes: int = source.CHUNK_BYTES,
+    options: ParseOptions = ParseOptions(),
+) -> None:
+    """Pack a file or directory into an archive directory; options are those of codec "kernel"."""
     spark.dataSource.register(archives.ArchiveSource)
     chunks = source.spread(source.from_files(spark, path, chunk_bytes, keep_empty=True))
-    archives.pack(chunks, tags, codec).write.format("bytequarry").option("path", out).mode("overwrite").save()
+    archives.pack(chunks, tags, codec, options).write.format("bytequarry").option("path", out).mode("overwrite").save()
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -30,17 +39,32 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore(spark: SparkSession, path: str, out: str) -> int:
-    """Write an archive's files below `out`, chunk by chunk in order; the number of chunks. The files pass through the
-    driver one chunk at a time."""
-    written = 0
-    rows = archives.restore(read_archive(spark, path)).orderBy("key", "chunk").select("key", "chunk", "raw")
-    for key, chunk, raw in rows.toLocalIterator():
-        target = os.path.join(out, archives.check_name(key))
-        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-        with open(target, "wb" if chunk == 0 else "ab") as f:
-            f.write(raw)
-        written += 1
-    return written
+    """Write an archive's files below `out`, a folder that all workers share; the number of chunks. A file is written by one
+    task, chunk by chunk, under another name until it is whole, so that a task can run again."""
+    rows = archives.restore(read_archive(spark, path)).select("key", "chunk", "raw").repartition("key").sortWithinPartitions("key", "chunk")
+
+    def write(batches):
+        target, draft, f, written = None, None, None, 0
+
+        def close():
+            if f:
+                f.close()
+                os.replace(draft, target)
+
+        for batch in batches:
+            for key, chunk, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if chunk == 0:
+                    close()
+                    target = os.path.join(out, archives.check_name(key))
+                    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+                    draft = f"{target}.{uuid.uuid4().hex}.part"
+                    f = open(draft, "wb")
+                f.write(raw)
+                written += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["written"])
+
+    return rows.mapInArrow(write, "written long").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
 
 
 def profile(spark: SparkSession, path: str, chunk_bytes: int = source.CHUNK_BYTES) -> DataFrame:
@@ -58,6 +82,8 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("bytequarry").getOrCreate()
     if args[:1] == ["archive"] and len(args) == 3:
         archive(spark, args[1], args[2])
+    elif args[:1] == ["archive"] and len(args) == 6:
+        archive(spark, args[1], args[2], codec="kernel", options=ParseOptions(*map(float, args[3:])))
     elif args[:1] == ["restore"] and len(args) == 3:
         print(restore(spark, args[1], args[2]))
     elif args[:1] == ["profile"] and len(args) == 2:

@@ -111,7 +111,7 @@ def _whole_cte(table: str, size: int) -> str:
     """chunks and b as _chunk_cte() makes them, from (doc_id, h) of long inputs: bytes are split off together."""
     return f"""raw AS ({table}), chunks AS (SELECT doc_id, CAST(c AS INTEGER) AS chunk, substr(h, c * {2 * size} + 1, {2 * size}) AS h, least({size}, length(h) // 2 - c * {size}) AS n
   FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 1) // {size} + 1)) AS c FROM raw WHERE h <> '')),
-b AS (SELECT doc_id, chunk, n, pos, CAST('0x' || x AS INTEGER) AS v FROM (SELECT doc_id, chunk, n, unnest(range(0, n)) AS pos, unnest(regexp_extract_all(h, '..')) AS x FROM chunks))"""
+b AS MATERIALIZED (SELECT doc_id, chunk, n, pos, CAST('0x' || x AS INTEGER) AS v FROM (SELECT doc_id, chunk, n, unnest(range(0, n)) AS pos, unnest(regexp_extract_all(h, '..')) AS x FROM chunks))"""
 
 
 _FULL = _whole_cte(f"SELECT doc_id // {PART} AS doc_id, hex(encode(string_agg(text, '' ORDER BY doc_id))) AS h FROM documents GROUP BY 1", source.CHUNK_BYTES)
@@ -160,7 +160,7 @@ def _tagged(tag: str) -> str:
 def _sized(tags: list[str]) -> str:
     """CTE sized: (tag, doc_id, chunk, n, size) of every candidate."""
     every = " UNION ALL ".join(f"SELECT '{t}' AS tag, doc_id, chunk, n, v FROM ({_tagged(t)})" for t in tags)
-    return f"""{_POWERS}, cand AS ({every}), sized AS (SELECT tag, doc_id, chunk, n, CAST(ceil((round(-sum(c / t * log2(c / t)), 6) + 0.0) * any_value(t) / 8) AS BIGINT) + 1 AS size FROM (
+    return f"""{_POWERS}, cand AS MATERIALIZED ({every}), sized AS (SELECT tag, doc_id, chunk, n, CAST(ceil((round(-sum(c / t * log2(c / t)), 6) + 0.0) * any_value(t) / 8) AS BIGINT) + 1 AS size FROM (
   SELECT tag, doc_id, chunk, n, CAST(count(*) AS DOUBLE) AS c, sum(count(*)) OVER (PARTITION BY tag, doc_id, chunk) AS t FROM cand GROUP BY tag, doc_id, chunk, n, v) GROUP BY tag, doc_id, chunk, n)"""
 
 
@@ -196,7 +196,7 @@ ORACLES = {
   any_value(n) >= 8192 AND count(*) >= 256 AND count(*) FILTER (WHERE again) * 1000 <= count(*) AS skip_parse FROM t GROUP BY doc_id, chunk""",
     "vector_catalogue": f"WITH {_FLOATS}, {_sized(CATALOGUES['words'])} {_BEST.format(more='CAST(n AS BIGINT) AS raw_len, ')}",
     "candidate_map": f"WITH {_chunk_cte()}, {_sized(CATALOGUES['records28'])} SELECT doc_id, chunk, string_agg(tag || '=' || size, ',' ORDER BY tag) AS sizes FROM sized GROUP BY doc_id, chunk",
-    "top_lag_oracle": f"""{_lag_rates(_chunk_cte())}, {_TOP}, cand AS (SELECT 'BASE' AS tag, doc_id, chunk, n, v FROM b UNION ALL
+    "top_lag_oracle": f"""{_lag_rates(_chunk_cte())}, {_TOP}, cand AS MATERIALIZED (SELECT 'BASE' AS tag, doc_id, chunk, n, v FROM b UNION ALL
     SELECT 'D' || lag || 'T' || lag, x.doc_id, x.chunk, x.n, CASE WHEN y.v IS NULL THEN x.v ELSE (x.v - y.v) & 255 END FROM top JOIN b x ON x.doc_id = top.doc_id AND x.chunk = top.chunk
       LEFT JOIN b y ON y.doc_id = x.doc_id AND y.chunk = x.chunk AND y.pos = x.pos - lag),
   sized AS (SELECT tag, doc_id, chunk, n, CAST(ceil((round(-sum(c / t * log2(c / t)), 6) + 0.0) * n / 8) AS BIGINT) + 1 AS size FROM (

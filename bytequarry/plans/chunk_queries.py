@@ -232,7 +232,7 @@ def _chunk_cte(size: int = CHUNK, table: str = "documents", key: str = "doc_id")
     return f"""raw AS (SELECT {key}, hex(encode(text)) AS h FROM {table} WHERE text <> ''),
 chunks AS (SELECT {key}, CAST(c AS INTEGER) AS chunk, substr(h, c * {2 * size} + 1, {2 * size}) AS h, least({size}, length(h) // 2 - c * {size}) AS n
   FROM (SELECT {key}, h, unnest(range(0, (length(h) // 2 - 1) // {size} + 1)) AS c FROM raw)),
-b AS (SELECT {key}, chunk, n, pos, CAST('0x' || substr(h, 2 * pos + 1, 2) AS INTEGER) AS v
+b AS MATERIALIZED (SELECT {key}, chunk, n, pos, CAST('0x' || substr(h, 2 * pos + 1, 2) AS INTEGER) AS v
   FROM (SELECT {key}, chunk, n, h, unnest(range(0, n)) AS pos FROM chunks))"""
 
 

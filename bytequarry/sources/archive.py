@@ -207,16 +207,17 @@ class ArchiveSource(DataSource):
         return _Writer(self.options["path"], overwrite)
 
 
-def pack(chunks: DataFrame, tags: list[str] | None = None, codec: str = "zlib-6") -> DataFrame:
+def pack(chunks: DataFrame, tags: list[str] | None = None, codec: str = "zlib-6", options: lz.ParseOptions = lz.ParseOptions()) -> DataFrame:
     """RECORD rows of chunks (key, chunk, raw_len, raw): every chunk in the transform that packs smallest (of equal ones
-    the first in `tags`). codec "kernel" is the engine's own; raw bytes are kept where packing does not pay."""
+    the first in `tags`). codec "kernel" is the engine's own, with these options; raw bytes are kept where packing does not
+    pay."""
     tags = tags or ["BASE"]
     for tag in tags:
         transforms.steps(tag)
 
     def one(data: bytes) -> tuple[int, bytes]:
         if codec == "kernel":
-            return lz.pack(data)
+            return lz.pack(data, options)
         made = codecs.get(codec)[0](data)
         return (lz.PACKED, made) if len(made) < len(data) else (lz.RAW, data)
 
