@@ -18,7 +18,10 @@ Step 2 and 3 gather one document's matrices (2 KB for each 16 KB of text) and st
 the input and of the result, so both are bounded by what a row may hold. No text is gathered.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; rows that repeat are encoded alike; a
-text that contains the mark U+2581 decodes with spaces in its place; an empty table gives an empty table.
+text that contains the mark U+2581 decodes with spaces in its place; of equal sums the one whose last piece starts first is
+taken; texts of any length are encoded whole; an empty table gives an empty table; new columns get other names where the
+table has them already. Texts are read twice, once for the lengths of the giants: sorting them out in one pass would mean
+writing all ids to a table of about the input's size.
 """
 
 from __future__ import annotations

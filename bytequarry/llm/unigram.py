@@ -10,7 +10,8 @@ way to it, so each prefix is computed once however many pre-tokens share it; a p
 node. The trie lives as long as the worker process and starts anew beyond MAX_NODES, so its memory has a bound.
 
 Defined cases: a null or empty text has no tokens; the mark itself in a text is read as a space; texts of any length
-are counted whole; rows that repeat are counted alike; an empty table gives an empty table.
+are counted whole; rows that repeat are counted alike; an empty table gives an empty table; new columns get other names
+where the table has them already.
 """
 
 from __future__ import annotations

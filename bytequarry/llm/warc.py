@@ -12,7 +12,8 @@ unclosed comment or script belongs to it.
 Defined cases: a null or empty block gives records with empty payloads; a block without an HTTP header is all payload;
 unknown character sets are read as UTF-8, with U+FFFD for what cannot be decoded; a payload whose transfer or
 content coding is broken is read as it is; a payload that is neither HTML nor text has an empty conversion; a null
-URI is left out; repeated responses give repeated records with the same ids; an empty table gives an empty table.
+URI is left out; repeated responses give repeated records with the same ids; pages and tags of any length are read whole; an
+empty table gives an empty table; columns other than those named are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Quotes are looked at within so many characters of a tag; longer tags end at their first >.
-MAX_TAG = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's for URLs
 
@@ -63,7 +62,9 @@ _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*)|[!?/])")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LANG = re.compile(r"""\slang\s*=\s*["']?([a-zA-Z0-9-]+)""", re.I)
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
-_QUOTED = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
+#: What is left of a tag: a > inside a quoted value does not end it. A quote that never closes is a character like others;
+#: only the last quote of a page can be one, so all tags together take time in proportion to the page.
+_REST = re.compile(r"""(?>[^>=]++|=\s*+(?>"[^"]*+"|'[^']*+')?+)*+>""")
 
 
 def digest(data: bytes) -> str:
@@ -171,13 +172,8 @@ def extract(markup: str, base: str = "") -> tuple[str, str, str, list[str]]:
 
 def _tag_end(markup: str, at: int) -> int:
     """Behind the tag's >, which may stand inside quotes before that."""
-    end = markup.find(">", at)
-    if end < 0:
-        return len(markup)
-    if '"' in markup[at:end] or "'" in markup[at:end]:
-        whole = _QUOTED.match(markup, at, at + MAX_TAG)
-        return whole.end() if whole else end + 1
-    return end + 1
+    whole = _REST.match(markup, at)
+    return whole.end() if whole else len(markup)
 
 
 def _closes_itself(attributes: str) -> bool:
