@@ -313,5 +313,5 @@ def keep_one_of_each(
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row"))
     grouped = _grouped(prints, first, radius, split_rows)
     lead = grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
-    # the texts are shuffled once, by their row's number
-    return numbered.join(lead, row, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    # the texts are shuffled once, by their row's number; the leads grow with the texts, so they are not broadcast at any size
+    return numbered.join(lead.hint("merge"), row, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
