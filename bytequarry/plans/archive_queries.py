@@ -66,11 +66,12 @@ def json_report(spark, sf_dir):
 
 
 def listed_files(spark, sf_dir):
-    """The table files below a folder: their names, in order, and that they are not empty."""
+    """The tables below a folder, each a file or a folder of part files: their names, in order, and that they are not empty."""
     from bytequarry.sources.chunks import listing
 
-    found = listing(spark, sf_dir, "*.parquet").where(F.col("rel").isin("documents.parquet", "labels.parquet", "region.parquet"))
-    return found.select("rel", (F.col("raw") > 0).alias("has_bytes"))
+    found = listing(spark, sf_dir).select(F.element_at(F.split("rel", "/"), 1).alias("rel"), "raw")
+    found = found.where(F.col("rel").isin("documents.parquet", "labels.parquet", "region.parquet"))
+    return found.groupBy("rel").agg((F.sum("raw") > 0).alias("has_bytes")).orderBy("rel")
 
 
 def markdown_report(spark, sf_dir):

@@ -25,6 +25,17 @@ def test_listing_is_sorted_and_relative(spark, files):
     assert [r.rel for r in chunks.listing(spark, str(files / "a.txt")).collect()] == ["a.txt"]
 
 
+def test_tables_of_part_files_are_listed_by_name(spark, tmp_path):
+    from bytequarry.plans import archive_queries
+
+    spark.range(9).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/other.parquet")
+    for name in ("labels", "region"):
+        spark.range(2).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    got = [tuple(r) for r in archive_queries.listed_files(spark, str(tmp_path)).collect()]
+    assert got == [("documents.parquet", True), ("labels.parquet", True), ("region.parquet", True)]
+
+
 @pytest.mark.parametrize("codec", ["zlib-6", "kernel", "store"])
 def test_files_come_back(spark, files, tmp_path, codec):
     api.archive(spark, str(files), str(tmp_path / "out"), ["BASE", "D4T4", "NIB"], codec, chunk_bytes=1000)
